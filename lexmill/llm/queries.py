@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..common import read
-from . import leakage, lookalike, sentences, site_lines
+from ..common import checkpointed, read
+from . import leakage, lookalike, packing, scans, sentences, site_lines, token_budget
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,3 +68,50 @@ SQL: dict[str, str] = {
     "p3_found": _LINES + "SELECT DISTINCT filename, CAST(line_no AS INTEGER) AS line_no FROM n JOIN h ON n.court = h.court AND n.norm = h.norm",
     "p3_heavy_lines": _LINES + "SELECT court, norm AS line, n_docs, n_all FROM h",
 }
+
+
+def _scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.inputs(read(spark, sf_dir, "pipeline_data"), read(spark, sf_dir, "processed_json"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.found(_scans(spark, sf_dir))
+
+
+def p1_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.restored(_scans(spark, sf_dir))
+
+
+QUERIES |= {"p1_found": p1_found, "p1_restored": p1_restored}
+
+
+def _units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = token_budget.units("decision", read(spark, sf_dir, "processed_json"), "filename", "reasoning_full", "ingested_at", "court", "lang", "domain")
+    b = token_budget.units("document", read(spark, sf_dir, "documents"), "doc_id", "text", "loaded_at", "source", "lang", "domain")
+    return a.unionByName(b)
+
+
+def p7_token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _units(spark, sf_dir)
+    change = token_budget.deltas(None, token_budget.documents(rows), token_budget.new_counts(rows))
+    return token_budget.updated(None, change)
+
+
+def p7_token_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_budget.cube(p7_token_totals(spark, sf_dir))
+
+
+def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sized = read(spark, sf_dir, "documents").select("doc_id", token_budget.token_count("text").alias("n_tokens"))
+    return packing.placed(checkpointed(sized), read(spark, sf_dir, "containers"))
+
+
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _placed(spark, sf_dir)
+
+
+def p8_utilisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.utilisation(_placed(spark, sf_dir), read(spark, sf_dir, "containers"))
+
+
+QUERIES |= {f.__name__: f for f in (p7_token_totals, p7_token_cube, p8_containers, p8_utilisation)}
