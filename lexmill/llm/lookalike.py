@@ -1,7 +1,6 @@
 """Visually identical text in one form: a skeleton by decomposing, replacing look-alikes, decomposing again.
 
-``skeleton`` decides whether two texts look the same; ``one_form`` is the readable form (the skeleton
-composed again). Differences a reader sees - an accent, a digit, a capital - are kept: only
+``skeleton`` decides whether two texts look the same; composed again it is also the one readable form. Differences a reader sees - an accent, a digit, a capital - are kept: only
 characters outside ASCII are replaced, and never one ASCII character by another.
 
 Edge cases: null stays null, the empty text empty; order and kind of combining marks are canonical;
@@ -18,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..common import checkpointed
+
 #: fixed values: letters of other scripts and the Latin letters they look like, pairwise
 LOOKALIKES = {
     "cyrillic": ("аеорсухіјѕԁһԛԝьѵАВЕКМНОРСТУХІЈЅԌԚԜ", "aeopcyxijsdhqwbvABEKMHOPCTYXIJSGQW"),
@@ -28,10 +29,14 @@ LOOKALIKES = {
 }
 
 
+#: code points that may be replaced: all planes' symbols and letters but ideographs, Hangul and private use
+_RANGE = [*range(0x80, 0x3400), *range(0xA000, 0xAC00), *range(0xF900, 0x10000), *range(0x1D400, 0x1D800), *range(0xE0000, 0xE0100)]
+
+
 def _table() -> dict[int, str | None]:
     """The look-alike table from rules: compatibility forms of the same shape, the pairs above, blanks, invisibles."""
     out: dict[int, str | None] = {}
-    for c in map(chr, range(0x80, 0x30000)):
+    for c in map(chr, _RANGE):
         kind = unicodedata.category(c)
         tag = unicodedata.decomposition(c).partition(">")[0]
         if kind == "Cf" or 0xFE00 <= ord(c) <= 0xFE0F or c == "͏":
@@ -49,16 +54,23 @@ def _table() -> dict[int, str | None]:
 
 
 TABLE = _table()
-_ODD = re.compile("[" + "".join(f"{chr(c)}" for c in sorted(TABLE) if c < 0x3000) + "　-﻿＀-￯\U00010000-\U0002ffff]")
-_BLANKS = re.compile(r"[ \t\r\f\v]+")
+#: characters that are replaced, or hold one that is
+_TOUCHED = "".join(c for c in map(chr, _RANGE) if any(ord(d) in TABLE for d in unicodedata.normalize("NFD", c)) or ord(c) in TABLE)
+#: one pattern per plane, as classes within the basic plane are matched by table
+_ODD = re.compile("[" + re.escape("".join(c for c in _TOUCHED if c < "\U00010000")) + "]")
+_ASTRAL = re.compile("[\U0001d400-\U0001d7ff\U000e0000-\U000e00ff]")
+_BLANKS = re.compile(r"[ \t\r\f\v]{2,}|[\t\r\f\v]")
 
 
 def replaced(text: str) -> str:
-    """The text with every character replaced by its prototype, letters with accents kept composed."""
+    """Decomposed, every character replaced by its prototype, decomposed again and composed.
+
+    A text without any character of the table is only composed, which gives the same.
+    """
     if text.isascii():
         return text
-    if _ODD.search(text):
-        text = unicodedata.normalize("NFD", text).translate(TABLE)
+    if _ODD.search(text) or _ASTRAL.search(text):
+        text = unicodedata.normalize("NFD", unicodedata.normalize("NFD", text).translate(TABLE))
     return unicodedata.normalize("NFC", text)
 
 
@@ -66,14 +78,15 @@ def skeleton(text: str | None) -> str | None:
     """Equal for two texts exactly if they look the same."""
     if text is None:
         return None
-    if not text.isascii():
-        text = unicodedata.normalize("NFD", unicodedata.normalize("NFD", text).translate(TABLE))
-    return _BLANKS.sub(" ", text).replace(" \n", "\n").replace("\n ", "\n").strip()
+    t = _BLANKS.sub(" ", replaced(text))
+    if " \n" in t or "\n " in t:
+        t = t.replace(" \n", "\n").replace("\n ", "\n")
+    return t.strip()
 
 
 def one_form(text: str | None) -> str | None:
     """The form in which equal-looking texts are equal, composed for reading."""
-    return None if text is None else unicodedata.normalize("NFC", skeleton(text))
+    return skeleton(text)
 
 
 def skeleton_col(text: F.Column | str) -> F.Column:
@@ -105,7 +118,7 @@ def same_look_pairs(df: DataFrame, key: str, text: F.Column) -> DataFrame:
     Skeletons with one stored form are dropped before the join, so a large group of exact copies
     costs one row per copy and no comparison; what is joined are different stored forms of one look.
     """
-    each = classes(df, key, text)
+    each = checkpointed(classes(df, key, text))
     forms = each.groupBy("look", "look2").agg(F.min("chars").alias("a"), F.max("chars").alias("b")).where("a <> b").select("look", "look2")
     mixed = each.join(forms, ["look", "look2"], "left_semi")
     a = mixed.select("look", "look2", F.col("key").alias("key_a"), F.col("chars").alias("chars_a"))
@@ -115,7 +128,7 @@ def same_look_pairs(df: DataFrame, key: str, text: F.Column) -> DataFrame:
 
 def groups(df: DataFrame, key: str, text: F.Column) -> DataFrame:
     """(key, group_id, n_keys, n_forms): every key with the class of its look; group_id is the smallest key."""
-    each = classes(df, key, text)
+    each = checkpointed(classes(df, key, text))
     size = each.groupBy("look", "look2").agg(F.min("key").alias("group_id"), F.count("*").alias("n_keys"), F.countDistinct("chars").alias("n_forms"))
     return each.join(size, ["look", "look2"]).select("key", "group_id", "n_keys", "n_forms").distinct()
 
