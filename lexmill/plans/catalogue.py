@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import data_quality
+from . import cases, data_quality, documents, search, tables
 
-QUERIES = {**data_quality.QUERIES}
-SQL = {**data_quality.SQL}
+QUERIES = {**data_quality.QUERIES, **documents.QUERIES, **search.QUERIES, **cases.QUERIES, **tables.QUERIES}
+SQL = {**data_quality.SQL, **documents.SQL, **search.SQL, **cases.SQL, **tables.SQL}
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return data_quality.p4_found(spark, sf_dir)
+    return search.r3_bm25(spark, sf_dir)
