@@ -156,6 +156,16 @@ def values_of(cell: str | None, how: str, context: str | None) -> list[str]:
     flat = _squeeze(context)
     if how == "json":
         return [v for _, p in pieces if (v := p.strip())]
+    out = _joined(pieces, flat)
+    if ";?" in how and not all(_fits(_squeeze(v), flat) for v in out):
+        finer = _joined([(";" if i else d, x) for d, p in pieces for i, x in enumerate(p.split(";"))], flat)
+        if all(_fits(_squeeze(v), flat) for v in finer):
+            return finer
+    return [w for v in out for w in ([v] if _fits(_squeeze(v), flat) else _recut(v, flat))]
+
+
+def _joined(pieces: list[tuple[str, str]], flat: str) -> list[str]:
+    """Pieces put together to the longest runs that stand in the text."""
     out: list[str] = []
     i = 0
     while i < len(pieces):
@@ -170,9 +180,7 @@ def values_of(cell: str | None, how: str, context: str | None) -> list[str]:
             if _fits(_squeeze(v), flat):
                 best, end = v, j
         i = end
-        if best and not _fits(_squeeze(best), flat):
-            out += _recut(best, flat)
-        elif best:
+        if best:
             out.append(best)
     return out
 
