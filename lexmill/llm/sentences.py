@@ -36,6 +36,7 @@ _NEXT = re.compile(r"\s*[„“\"«「(]?([^\W_]+)")
 _CODE = re.compile(r"^[^\W\d_]+\d")
 _THAI = re.compile("[฀-๿]")
 _GREEK = re.compile("[Ͱ-Ͽ]")
+_DEVANAGARI = re.compile("[ऀ-ॿ]")
 _CASELESS = re.compile("[ऀ-෿฀-໿぀-ヿ㐀-鿿]")
 #: letters of the longest word that is taken for an abbreviation only because it never ends a paragraph
 LONGEST = 5
@@ -183,6 +184,8 @@ def _boundary(p: str, start: int, e: int, spans: list, own: Facts, corpus: Facts
         w = after[m.end() :].lstrip("„“\"«「")[:1]
         if w.isupper() or not (w.islower() or w.isupper()):
             return True
+    if stop == "." and _DEVANAGARI.search(core[-3:]):
+        return False
     if _THAI.search(p[max(0, e - 2) : e]) or (_CASELESS.match(c) and stop == "."):
         return stop in "!?" or bool(_THAI.match(c)) and rest[:1].isspace()
     quoted = head[-1] in "”“’»\""
