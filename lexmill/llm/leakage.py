@@ -55,6 +55,7 @@ class Typing:
     """Vocabulary, names and units that the items show."""
 
     def __init__(self, passages: list[str]) -> None:
+        self.seen: dict[str, tuple[str | None, str]] = {}
         lower, mid, unit = Counter(), Counter(), Counter()
         for p in passages:
             for s in re.split(r"[.!?]\s+", _plain(replaced(p))):
@@ -67,7 +68,14 @@ class Typing:
         self.units = frozenset(w for w, n in unit.items() if n > 1 and w not in self.names)
 
     def typed(self, word: str) -> tuple[str | None, str]:
-        """(template word or None if it can't occur in an item, literal word)."""
+        """(template word or None if it can't occur in an item, literal word), remembered per worker."""
+        if word not in self.seen:
+            if len(self.seen) > 500_000:
+                self.seen.clear()
+            self.seen[word] = self._typed(word)
+        return self.seen[word]
+
+    def _typed(self, word: str) -> tuple[str | None, str]:
         w = word.casefold()
         if any(c.isdigit() for c in w):
             return "<num>", w

@@ -26,11 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _PARA = re.compile(r"\n[^\S\n]*\n\s*")
-_END = re.compile(r"(?:[.!?…]+|[。！？｡]+|[।॥]+|[;;](?=\s|$))[\"”“’»」』）)\]]*")
+_END = re.compile(r"(?:(?:\.(?!\d)|[!?…])[.!?…]*|[。！？｡]+|[।॥]+|[;;](?=\s|$))[\"”“’»」』）)\]]*")
 _QUOTE = re.compile(r"„[^„“”]*[“”]|“[^“”]*”|«[^«»]*»|「[^「」]*」|『[^『』]*』|\"[^\"\n]{0,400}\"")
 _NUMBER = re.compile(r"(?:\(\d{1,3}\)|\d{1,3}[.)])\s+(?=[„“\"«「]?[^\W\d_])")
 _MARK = re.compile(r"(?:\(?\d{1,3}[.)]|[*•–-])\s*")
-_TOKEN = re.compile(r"[^\s(„“\"«「【]+$")
 _CHAIN = re.compile(r"(?:(?<=\s)|(?<=^)|(?<=[(„“\"]))((?:[^\W\d_]{1,2}\.\s?)+[^\W\d_]{1,3}|[^\W\d_]+)$")
 _NEXT = re.compile(r"\s*[„“\"«「(]?([^\W_]+)")
 _CODE = re.compile(r"^[^\W\d_]+\d")
@@ -40,9 +39,16 @@ _DEVANAGARI = re.compile("[ऀ-ॿ]")
 _CASELESS = re.compile("[ऀ-෿฀-໿぀-ヿ㐀-鿿]")
 #: letters of the longest word that is taken for an abbreviation only because it never ends a paragraph
 LONGEST = 5
+_SPACE = re.compile(r"\s+")
+_PLAIN = re.compile(r"(?<![\w.])[^\W\d_]+(?![\w.])")
+_OPENS = re.compile("[„“«「『\"]")
+_AFTER = ".,;:!?…)“”\"’»"
 _CLOSERS = "\"”“’»」』）)]"
 
 
+_ANY_END = ".!?…。！？｡।॥;;" + _CLOSERS
+
+
 def paragraphs(text: str) -> Iterator[tuple[int, int]]:
     """(start, end) of the stripped blocks between blank lines."""
     at = 0
@@ -57,43 +63,85 @@ def paragraphs(text: str) -> Iterator[tuple[int, int]]:
 
 def key_of(before: str) -> str:
     """The word before a period, with the short dotted words that lead up to it (``s. r. o``)."""
-    m = _CHAIN.search(before[-40:])
-    return re.sub(r"\s+", "", m[1]).casefold() if m else ""
-
-
-def observe(text: str) -> Iterator[tuple[str, str]]:
-    """(what, word) for every unambiguous occurrence: abbr, dot, plain, end, start, mid."""
-    for a, b in paragraphs(text):
-        p = text[a:b]
-        m = _NUMBER.match(p)
-        first = m.end() if m else 0
-        if n := _NEXT.match(p, first):
-            yield "start", n[1]
-        for m in _END.finditer(p):
-            if p[m.start()] != ".":
-                if (n := _NEXT.match(p, m.end())) and n[1][0].isupper():
-                    yield "start", n[1]
-                continue
-            k = key_of(p[: m.start()])
-            if not k or m.end() - m.start() > 1 and p[m.start() + 1] == ".":
-                continue
-            yield "dot", k
-            rest = p[m.end() : m.end() + 40]
-            c = rest.lstrip()[:1]
-            w = n[1] if (n := _NEXT.match(rest)) else ""
-            if m.end() == len(p):
-                yield "end", k
-            elif len(m[0]) == 1 and (rest[:1] in ",:;)%" or rest[:1].isspace() and (c.islower() or c.isdigit() and not _NUMBER.match(rest.lstrip()) or c in "§(,;:%&№" or _CODE.search(w))):
-                yield "abbr", k
-        for m in re.finditer(r"[^\W\d_][\w]*\s+([^\W\d_]+)(\.?)", p):
-            w = m[1]
-            if w[0].isupper() and m[0][0].islower():
-                yield "mid", w
-        yield from (("plain", w.casefold()) for w in _plain_words(p))
-
-
-def _plain_words(p: str) -> list[str]:
-    return re.findall(r"(?<![\w.])[^\W\d_]+(?![\w.])", p)
+    tok = before[max(before.rfind(" "), before.rfind("\n")) + 1 :]
+    if len(tok) > 3 and tok.isalpha():
+        return tok.casefold()
+    m = _CHAIN.search(before)
+    return _SPACE.sub("", m[1]).casefold() if m else ""
+
+
+class Mark:
+    """A terminator with its closing marks: where it is, what comes before and after."""
+
+    __slots__ = ("_word", "c", "end", "key", "p", "start", "stop")
+
+    def __init__(self, p: str, start: int, end: int) -> None:
+        self.p, self.start, self.end, self.stop = p, start, end, p[start]
+        c = p[end + 1 : end + 2] if p[end : end + 1] == " " else p[end : end + 1]
+        self.c = c if not c.isspace() else self.after[:1]
+        self._word: str | None = None
+        plain = self.stop == "." and p[start + 1 : start + 2] != "."
+        self.key = key_of(p[max(0, start - 40) : start]) if plain else ""
+
+    @property
+    def rest(self) -> str:
+        return self.p[self.end : self.end + 60]
+
+    @property
+    def after(self) -> str:
+        return self.rest.lstrip()
+
+    @property
+    def word(self) -> str:
+        if self._word is None:
+            n = _NEXT.match(self.p, self.end)
+            self._word = n[1] if n else ""
+        return self._word
+
+
+def marks_of(p: str) -> list[Mark]:
+    return [Mark(p, *m.span()) for m in _END.finditer(p)]
+
+
+def tally(p: str, marks: list[Mark], n: dict[tuple[str, str], int]) -> None:
+    """Count what periods, paragraph ends and certain starts of a paragraph tell."""
+
+    def add(what: str, word: str) -> None:
+        n[what, word] = n.get((what, word), 0) + 1
+
+    m = _NUMBER.match(p)
+    if first := _NEXT.match(p, m.end() if m else 0):
+        add("start", first[1])
+    for k in marks:
+        if k.stop != ".":
+            if k.word[:1].isupper():
+                add("start", k.word)
+        elif k.key:
+            add("dot", k.key)
+            c, nxt = k.c, p[k.end : k.end + 1]
+            if not nxt:
+                add("end", k.key)
+            elif k.end - k.start == 1 and (nxt in ",:;)%" or nxt.isspace() and (c.islower() or c.isdigit() and not _NUMBER.match(k.after) or c in "§(,;:%&№" or c.isalpha() and _CODE.search(k.word))):
+                add("abbr", k.key)
+
+
+def observe(*texts: str) -> Counter:
+    """Counts of (what, word) for every unambiguous occurrence: abbr, dot, plain, end, start, mid."""
+    n: Counter = Counter()
+    plain: Counter = Counter()
+    inside: Counter = Counter()
+    for text in texts:
+        for a, b in paragraphs(text):
+            p = text[a:b]
+            tally(p, marks_of(p), n)
+        plain.update(_PLAIN.findall(text))
+        toks = text.split()
+        inside.update([w for v, w in zip(toks, toks[1:]) if w[0].isupper() and v[0].islower() and v[-1].isalnum()])
+    for w, k in plain.items():
+        n["plain", w.casefold()] += k
+    for w, k in inside.items():
+        n["mid", w.rstrip(_AFTER)] += k
+    return n
 
 
 class Facts:
@@ -101,6 +149,15 @@ class Facts:
 
     def __init__(self, counts: dict[tuple[str, str], int]) -> None:
         self.n = counts
+        self.seen: dict[str, bool | None] = {}
+
+    def known(self, k: str, sure: int) -> bool | None:
+        """``abbreviation`` remembered, for facts that no longer change."""
+        if k not in self.seen:
+            if len(self.seen) > 500_000:
+                self.seen.clear()
+            self.seen[k] = self.abbreviation(k, sure)
+        return self.seen[k]
 
     def abbreviation(self, k: str, sure: int) -> bool | None:
         """Whether ``k`` is an abbreviation; None if there is no evidence."""
@@ -117,7 +174,40 @@ class Facts:
 
     def starter(self, w: str) -> bool | None:
         start, mid = self.n.get(("start", w), 0), self.n.get(("mid", w), 0)
-        return True if start and start >= 0.02 * mid else False if mid else None
+        return True if start and start >= 0.004 * mid else False if mid else None
+
+
+class Own(Facts):
+    """Facts of one document; ordinary words and names are looked up when asked for."""
+
+    def __init__(self, text: str, n: dict[tuple[str, str], int]) -> None:
+        super().__init__(n)
+        self.text, self.low = text, text.casefold()
+        self.asked: set[tuple[str, str]] = set()
+
+    def look(self, what: str, word: str) -> None:
+        if (what, word) in self.asked or not word:
+            return
+        self.asked.add((what, word))
+        t, at, n = (self.low if what == "plain" else self.text), -1, 0
+        while (at := t.find(word, at + 1)) >= 0:
+            left, right = t[at - 1 : at] if at else " ", t[at + len(word) : at + len(word) + 1]
+            if right.isalnum() or right == "_":
+                continue
+            if what == "plain":
+                n += not (left.isalnum() or left in "_.") and right != "."
+            elif left.isspace():
+                head = t[max(0, at - 40) : at].split()
+                n += bool(head) and head[-1][0].islower() and head[-1][-1].isalnum()
+        self.n[what, word] = n
+
+    def abbreviation(self, k: str, sure: int) -> bool | None:
+        self.look("plain", k)
+        return super().abbreviation(k, sure)
+
+    def starter(self, w: str) -> bool | None:
+        self.look("mid", w)
+        return super().starter(w)
 
 
 def _first(*facts: bool | None) -> bool | None:
@@ -128,106 +218,101 @@ def ends(text: str | None, corpus: Facts, sure: int = 8) -> list[int]:
     """The end positions of a text's sentences, in order."""
     if not text or not text.strip():
         return []
-    own = Facts(Counter(observe(text))) if "." in text else Facts({})
-    greek = bool(_GREEK.search(text))
+    parts = [(a, text[a:b]) for a, b in paragraphs(text)]
+    all_marks = [marks_of(p) for _, p in parts]
+    n: dict[tuple[str, str], int] = {}
+    for (_, p), marks in zip(parts, all_marks):
+        tally(p, marks, n)
+    own = Own(text, n)
+    greek, thai = bool(_GREEK.search(text)), bool(_THAI.search(text))
     out: list[int] = []
-    for a, b in paragraphs(text):
-        p = text[a:b]
-        spans = [m.span() for m in _QUOTE.finditer(p)] if any(c in p for c in "„“«「『\"") else []
+    for (a, p), marks in zip(parts, all_marks):
+        spans = [m.span() for m in _QUOTE.finditer(p)] if _OPENS.search(p) else []
         start = 0
-        for e in _candidates(p):
+        for k in _candidates(p, marks) if thai else marks:
+            e = k.end
             if e <= start or e >= len(p):
                 continue
-            if _boundary(p, start, e, spans, own, corpus, greek, sure):
+            if _boundary(p, start, k, spans, own, corpus, greek, sure):
                 out.append(a + e)
                 start = e
                 while start < len(p) and p[start].isspace():
                     start += 1
-        out.append(b)
+        out.append(a + len(p))
     return out
 
 
-def _candidates(p: str) -> list[int]:
-    found = [m.end() for m in _END.finditer(p)]
-    if _THAI.search(p):
-        found += [m.start() for m in re.finditer(r"(?<=\S)\s+(?=\S)", p)]
-        found = sorted(set(found))
-    return found
+def _candidates(p: str, marks: list[Mark]) -> list[Mark]:
+    """Terminators, and in a paragraph with Thai letters blanks."""
+    if not _THAI.search(p):
+        return marks
+    at = {k.end for k in marks}
+    blanks = [Mark(p, m.start() - 1, m.start()) for m in re.finditer(r"(?<=\S)\s+(?=\S)", p) if m.start() not in at]
+    return sorted([*marks, *blanks], key=lambda k: k.end)
 
 
-def _boundary(p: str, start: int, e: int, spans: list, own: Facts, corpus: Facts, greek: bool, sure: int) -> bool:
-    """Whether a sentence that began at ``start`` ends at ``e``."""
-    head = p[start:e]
-    if _MARK.fullmatch(head):
+def _boundary(p: str, start: int, k: Mark, spans: list, own: Facts, corpus: Facts, greek: bool, sure: int) -> bool:
+    """Whether a sentence that began at ``start`` ends with the mark ``k``."""
+    e, c = k.end, k.c
+    if e - start < 12 and _MARK.fullmatch(p, start, e):
+        return False
+    last = p[e - 1]
+    if p[e].isspace() and last not in _ANY_END:
+        near = _THAI.search(p[max(0, e - 12) : e]) and _THAI.search(k.rest[:14]) or _THAI.match(c)
+        return bool(near)
+    stop = p[k.start : e].rstrip(_CLOSERS)[-1:] or last
+    if c.islower() and stop not in "。！？｡।॥;;":
         return False
-    rest = p[e : e + 60]
-    if p[e].isspace() and head[-1] not in ".!?…。！？।॥;;" + _CLOSERS:
-        near = _THAI.search(p[max(0, e - 12) : e]) and _THAI.search(rest[:14]) or _THAI.match(rest.lstrip())
-        return bool(near) and not _MARK.fullmatch(head)
-    core = head.rstrip(_CLOSERS) if head[-1] in _CLOSERS else head
-    stop = core[-1:]
     for s, t in spans:
         if s < e < t:
             return False
         if t == e:
             break
+    rest = k.rest
     if stop in ";;":
-        return greek and bool(rest[:1].isspace())
-    after = rest.lstrip()
-    c = after[:1]
-    if stop in "。！？｡।॥" and stop:
-        if head[-1] in "”」』\"»":
-            return False
-        return True
-    newline = "\n" in rest[: len(rest) - len(after)]
-    if newline and (m := _NUMBER.match(after)):
-        w = after[m.end() :].lstrip("„“\"«「")[:1]
-        if w.isupper() or not (w.islower() or w.isupper()):
+        return greek and rest[:1].isspace()
+    if stop in "。！？｡।॥":
+        return last not in "”」』\"»"
+    if "\n" in rest and "\n" in rest[: len(rest) - len(k.after)] and (m := _NUMBER.match(k.after)):
+        head = k.after[m.end() :].lstrip("„“\"«「")[:1]
+        if head.isupper() or not (head.islower() or head.isupper()):
             return True
-    if stop == "." and _DEVANAGARI.search(core[-3:]):
+    if stop == "." and _DEVANAGARI.search(p, max(start, k.start - 2), k.start):
         return False
-    if _THAI.search(p[max(0, e - 2) : e]) or (_CASELESS.match(c) and stop == "."):
+    if _THAI.search(p[max(0, e - 2) : e]) or (stop == "." and _CASELESS.match(c)):
         return stop in "!?" or bool(_THAI.match(c)) and rest[:1].isspace()
-    quoted = head[-1] in "”“’»\""
-    if c.islower() or c in ",;:%)–—":
+    if c in ",;:%)–—":
         return False
-    if quoted:
+    if last in "”“’»\"":
         return not _CASELESS.match(c)
     if stop in "!?":
         return True
-    if stop == "…":
-        return c.isupper() or c in "„“\"«(" or c.isdigit()
-    if head[-1] in ")]":
-        return c.isupper() or c in "„“\"«(" or c.isdigit()
-    nxt = _NEXT.match(rest)
-    w = nxt[1] if nxt else ""
-    starts = lambda: _first(own.starter(w), corpus.starter(w))
-    token = _TOKEN.search(core[:-1])
-    body = token[0] if token else ""
+    opens = c in "„“\"«("
+    if stop == "…" or last in ")]":
+        return c.isupper() or opens or c.isdigit()
+    w = k.word
+    body = p[max(start, k.start - 60) : k.start]
+    body = body[max(body.rfind(" "), body.rfind("\n")) + 1 :].lstrip("(„“\"«「【")
     if not rest[:1].isspace() and not (c in "„“«" or c.isupper() and len(w) > 1 and w[1:2].islower() and len(body) > 2 or c.isupper() and len(w) == 1 and body[-3:].isalpha() and len(body) > 3):
         return False
+    # a name inside a sentence may begin another one, so the document only confirms before the corpus is asked
+    starts = lambda: _first(True if own.n.get(("start", w)) else None, corpus.starter(w), own.starter(w))
+    code = w.isupper() and len(w) > 1
     if body[-1:].isdigit():
         if c.isdigit():
             return False
-        if c in "„“\"«(":
-            return True
-        return starts() is not False and not (w.isupper() and len(w) > 1 and not starts())
-    k = key_of(core[:-1])
-    if not k:
-        return bool(c.isupper() or c in "„“\"«(")
-    short = len(k.replace(".", "")) == 1 or "." in k
-    abbr = True if short else _first(own.abbreviation(k, 10**9), corpus.abbreviation(k, sure))
-    if corpus.abbreviation(k, sure):
-        abbr = True
-    if not abbr:
+        return opens or starts() is not False and not (code and not starts())
+    key = k.key
+    if not key:
+        return c.isupper() or opens
+    short = len(key) == 1 or "." in key
+    if not (short or corpus.known(key, sure) or own.abbreviation(key, 10**9)):
         return True
-    if c.isdigit() or _CODE.search(w):
-        return False
-    if not _first(True if own.n.get(("end", k)) else None, corpus.ender(k)):
+    if c.isdigit() or _CODE.search(w) or not _first(True if own.n.get(("end", key)) else None, corpus.ender(key)):
         return False
-    if c in "„“\"«(":
+    if opens:
         return c != "("
-    return starts() is not False and not (w.isupper() and len(w) > 1)
+    return starts() is not False and not code
 
 
 def corpus_facts(df: DataFrame, text: str = "text") -> DataFrame:
@@ -235,10 +320,7 @@ def corpus_facts(df: DataFrame, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            n: Counter = Counter()
-            for t in b["t"]:
-                n.update(observe(t))
-            yield pd.DataFrame([(*k, v) for k, v in n.items()], columns=["what", "word", "n"])
+            yield pd.DataFrame([(*k, v) for k, v in observe(*b["t"]).items()], columns=["what", "word", "n"])
 
     has = df.where(F.col(text).rlike(r"\S")).select(F.col(text).alias("t"))
     return has.mapInPandas(run, "what string, word string, n long").groupBy("what", "word").agg(F.sum("n").alias("n"))
