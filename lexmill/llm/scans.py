@@ -25,6 +25,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -51,7 +52,9 @@ GLYPHS = (
 _SEEN = frozenset("0125689àèìòùÿć")
 _SITE = re.compile("|".join(re.escape(a) for a, _ in GLYPHS))
 _WORD = re.compile(r"[^\W_]+(?:-[^\W\d_]+)*")
-_CUT = re.compile(r"([^\W\d_][̀-ͯ]*)([-­‐¬])[ \t  -‍ ⁠﻿]*$")
+_BLANK = " \t\u00a0\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u200b\u200c\u200d\u202f\u2060\ufeff"
+_CUT = re.compile(rf"([^\W\d_][\u0300-\u036f]*)([-\u00ad\u2010\u00ac])[{_BLANK}]*$")
+_MARKS = frozenset("-\u00ad\u2010\u00ac")
 _LABEL = re.compile(r"^(Súd|Spisová značka|Identifikačné číslo súdneho spisu|Dátum vydania rozhodnutia|Meno a priezvisko sudcu, VSÚ|ECLI):")
 _FILLER = frozenset("sp zn č k pokračovanie rozhodnutia rozsudku uznesenia číslo konania spis".split())
 
@@ -86,6 +89,7 @@ def fair(word: str) -> bool:
     return letters >= 2 and letters > len(word) - letters
 
 
+@lru_cache(maxsize=200_000)
 def canon(word: str) -> str:
     """A form that a word and its misread forms share."""
     t = re.sub("[̀-ͯ]", "", unicodedata.normalize("NFD", word.lower()))
@@ -188,7 +192,7 @@ def cuts(pages: list[Page], compounds: frozenset, heads: frozenset, common: froz
     """(page, line_no, first part, second part, next page, next line_no) of words cut by a line break, marks of compounds left out."""
     text = [(p, i) for p in pages for i, x in enumerate(p.lines) if x.strip() and i not in p.kind]
     for (p, i), (q, j) in zip(text, text[1:]):
-        m = _CUT.search(p.raw[i])
+        m = _CUT.search(p.raw[i]) if p.raw[i].rstrip(_BLANK)[-1:] in _MARKS else None
         if not m:
             continue
         first = re.search(r"([^\W\d_]+)[-¬]?\s*$", p.lines[i])
@@ -323,6 +327,7 @@ class Learnt:
         vectors = model.getVectors().select(F.col("word").alias("context"), vector_to_array("vector").alias("v"))
         vectors = F.broadcast(checkpointed(vectors))  # at most 1 / CONTEXT words
         rare = texts.select("pages").mapInPandas(_rare_pairs(self.known, frozenset(contexts), _SITE), "word string, context string, n long").groupBy("word", "context").agg(F.sum("n").alias("n"))
+        rare = checkpointed(rare)
         wanted = links.select("word").distinct()
         right = links.select(F.col("right").alias("word")).distinct()
         of = checkpointed(_context_vectors(rare.join(wanted, "word", "left_semi"), vectors))
