@@ -320,8 +320,10 @@ class Learnt:
         ids = {w: i for i, w in enumerate(contexts)}
         pairs = texts.select("pages").mapInPandas(_pairs(ids, len(ids)), "word string, context string, n long").groupBy("word", "context").agg(F.sum("n").alias("n"))
         pairs = checkpointed(pairs)
-        damped = pairs.select(F.array("word", "context").alias("pair"), F.explode(F.sequence(F.lit(1), F.ceil(F.log2(F.col("n") + 1)).cast("int"))).alias("_"))
-        model = Word2Vec(vectorSize=DIMS, minCount=1, numPartitions=2, maxIter=1, windowSize=1, seed=7, inputCol="pair", outputCol="v").fit(damped.select("pair"))
+        # one sorted partition, so that training gives the same vectors every time; the pairs are at most (1 / CONTEXT)^2, whatever the corpus
+        ordered = pairs.repartition(1).sortWithinPartitions("word", "context")
+        damped = ordered.select(F.array("word", "context").alias("pair"), F.explode(F.sequence(F.lit(1), F.ceil(F.log2(F.col("n") + 1)).cast("int"))).alias("_"))
+        model = Word2Vec(vectorSize=DIMS, minCount=1, numPartitions=1, maxIter=1, windowSize=1, seed=7, inputCol="pair", outputCol="v").fit(damped.select("pair"))
         from pyspark.ml.functions import vector_to_array
 
         vectors = model.getVectors().select(F.col("word").alias("context"), vector_to_array("vector").alias("v"))
