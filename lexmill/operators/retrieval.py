@@ -8,11 +8,15 @@ plans as a group limit before the shuffle. A rank is a column, so every k is rea
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
+from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..common import checkpointed
 from ..functions import catalog
 from ..functions.text import portable, squash, tokens
 
@@ -56,7 +60,7 @@ def bm25(rows: DataFrame, query: DataFrame, cfg: Config = Config()) -> DataFrame
     The corpus is the document's own chunks. A negative idf is replaced by a quarter of the mean idf
     of the document's terms; a term repeated in the query counts as often.
     """
-    terms = _terms(rows)
+    terms = checkpointed(_terms(rows))  # read five times below
     stats = terms.groupBy("doc", "idx").agg(F.max("dl").alias("dl")).groupBy("doc").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     df = terms.where("term IS NOT NULL").groupBy("doc", "term").agg(F.count("*").alias("df")).join(stats, "doc")
     idf = df.withColumn("idf", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
@@ -81,7 +85,7 @@ def hashed_dense(rows: DataFrame, query: DataFrame, cfg: Config = Config()) -> D
         b = df.select(*keys, F.explode(tokens(text)).alias("term")).select(*keys, _bucket(F.col("term"), cfg.dims).alias("b"))
         return b.groupBy(*keys, "b").agg(F.count("*").cast("double").alias("w"))
 
-    c, q = vectors(rows, ["doc", "idx"], "text"), vectors(query, ["query_key"], "keywords")
+    c, q = checkpointed(vectors(rows, ["doc", "idx"], "text")), vectors(query, ["query_key"], "keywords")
     cn = c.groupBy("doc", "idx").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("cn"))
     qn = q.groupBy("query_key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("qn"))
     q = q.join(qn, "query_key").select("query_key", "b", F.col("w").alias("qw"), "qn")
@@ -146,12 +150,24 @@ def windowed(hits: DataFrame, rows: DataFrame, w: int) -> DataFrame:
 _BANK = [(g, p, float(w)) for g, ps in catalog.PATTERNS.items() for p, w in ps]
 
 
+def count_hits(texts: pd.Series) -> pd.Series:
+    """Per text the number of matches of each pattern; patterns are lower case and compiled once per worker, texts are lowered."""
+    bank = _compiled()
+    return texts.map(lambda t: [len(p.findall(t)) for p in bank])
+
+
+@lru_cache(maxsize=1)
+def _compiled() -> list[re.Pattern]:
+    return [re.compile(p.removeprefix("(?i)").lower()) for _, p, _ in _BANK]
+
+
 def pattern_hits(text: Column) -> Column:
     """How often each pattern of the catalogue occurs, as one array: every pattern runs once per text, whatever queries share it.
 
-    A lambda over the pattern list instead of one expression each keeps the generated code within the size a method may have.
+    So many literal patterns outgrow a generated method, and patterns that are data would be compiled for every row,
+    so they run in Arrow batches.
     """
-    return F.transform(F.array(*[F.lit(portable(p)) for _, p, _ in _BANK]), lambda p: F.regexp_count(text, p))
+    return F.pandas_udf(count_hits, "array<int>")(F.lower(F.coalesce(text, F.lit(""))))
 
 
 def keyword_score(hits: Column, query_key: str) -> Column:

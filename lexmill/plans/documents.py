@@ -222,6 +222,8 @@ SQL = {
       FROM (SELECT filename, text, regexp_extract(text, {_HEAD}) AS h, regexp_extract(text, 'ECLI:[^\\n]+\\n') AS e FROM {_FILES})""",
     "t8_punctuation_and_space": f"SELECT DISTINCT chunk_id, regexp_replace(translate(coalesce(page_content, ''), '–—„“”', '--\"\"\"'), '{WS}+([.,;:!?)])', '\\1', 'g') AS unicode, {sql_squash('page_content')} AS squashed, regexp_replace(coalesce(page_content, ''), '{WS}+([.,;:!?)\\]])', '\\1', 'g') AS tight FROM chunks",
     "t11_plain": f"SELECT doc_id, {sql_plain('text')} AS plain FROM documents",
+    "t13_names_and_numbers": "SELECT o_orderkey, regexp_replace(o_orderpriority, '[<>:\"/\\\\|?*\\s]+', '_', 'g') AS safe, CAST(year(o_orderdate) AS INTEGER) AS year, replace(format('{:,.0f}', o_totalprice), ',', ' ') AS price, format('o_{:03d}', o_custkey) AS padded, CAST(NULL AS DOUBLE) AS number FROM orders",
+    "t18_cut": "SELECT doc_id, CASE WHEN length(t) <= 200 THEN t WHEN instr(left(t, 200), ' ') > 1 THEN regexp_extract(left(t, 200), '(?s)^(.*) [^ ]*$', 1) ELSE left(t, 200) END AS cut FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[ \\t\\n\\r\\f\\x0B]', ' ', 'g') AS t FROM documents)",
     "x1_header_meta": f"""SELECT DISTINCT filename, replace({_META(rf'(\d{{1,2}}\.{WS}*\d{{1,2}}\.{WS}*\d{{4}})')}, ' ', '') AS date_raw, {_META(rf'(?i)Spisová{WS}*značka:?{WS}*([\p{{L}}\p{{N}}_/]+)')} AS case_id, {_META(r'(ECLI:[A-Z0-9:.]+)')} AS ecli,
       coalesce({sql_strip(_META(rf'Súd:{WS}*([^\n]+)'))}, '') AS court, upper(left(k, 1)) || lower(substr(k, 2)) AS document_type FROM (SELECT *, nullif(regexp_extract(coalesce(header, ''), '(?i)(?:^|[^\\p{{L}}\\p{{N}}_])(ROZSUDOK|UZNESENIE)(?:[^\\p{{L}}\\p{{N}}_]|$)', 1), '') AS k FROM processed_json)""",
     "x2_segments": f"""SELECT filename, CASE WHEN r <> '' THEN {sql_strip("left(text, instr(text, r) - 1)")} ELSE text END AS verdict, length(CASE WHEN r <> '' AND i <> '' THEN {sql_strip("left(rest, instr(rest, i) - 1)")} WHEN r <> '' THEN rest ELSE '' END) AS n_reasoning,

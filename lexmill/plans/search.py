@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..common import read
+from ..common import checkpointed, read
 from ..functions import catalog
 from ..operators import chunking
 from ..operators import evaluation as E
@@ -80,8 +80,8 @@ def q6_explained(s: SparkSession, d: str) -> DataFrame:
 
 
 def _parents(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    p = chunking.parents(_reasons(s, d), "reasoning", "filename")
-    return p, chunking.children(p)
+    p = checkpointed(chunking.parents(_reasons(s, d), "reasoning", "filename"))
+    return p, checkpointed(chunking.children(p))
 
 
 def h2_parents(s: SparkSession, d: str) -> DataFrame:
@@ -188,7 +188,7 @@ def _keyword_sql(key: str) -> str:
     good, noise = [], []
     for g in catalog.QUERY_GROUPS[key]:
         for p, w in catalog.PATTERNS[g]:
-            n = f"len(regexp_extract_all(text, {re2(p)}))"
+            n = f"len(regexp_extract_all(text, {re2(p).replace(chr(92) + 'd', chr(92) + 'p{Nd}')}))"
             (noise if w < 0 else good).append(f"CASE WHEN {n} > 0 THEN {w} ELSE 0 END" if w < 0 else f"least({n}, 3) * {w}")
     a, b = " + ".join(good), " + ".join(noise)
     bonus, near = catalog.FIRST_CHUNK_BONUS[key], key in catalog.POSITION_QUERIES
@@ -216,4 +216,13 @@ SQL = {
     "m16_gold": f"""WITH {_SOME}, {_QUOTE}, of AS (SELECT doc, idx, len(string_split({sql_squash('text')}, ' ')) AS n, EXISTS (SELECT 1 FROM gq WHERE gq.doc = rows.doc AND contains(lower({sql_squash('rows.text')}), lower(gq.quote))) AS gold FROM rows WHERE doc IN (SELECT doc FROM gq))
       SELECT doc, count(*) AS n_chunks, count(*) FILTER (gold) AS n_gold, round(avg(gold::INTEGER), 6) AS density, round(coalesce(sum(n) FILTER (gold), 0) / sum(n), 6) AS oracle_coverage FROM of GROUP BY doc""",
     "m18_robustness": f"WITH {_SOME}, {_BM25}, {_QUOTE}, {_HITS}, r AS (SELECT round(sum(found) / sum(expected), 6) AS recall FROM score GROUP BY doc) SELECT count(*) FILTER (recall >= 0.95) AS strong, count(*) FILTER (recall >= 0.8 AND recall < 0.95) AS fair, count(*) FILTER (recall < 0.8) AS weak FROM r",
+    "m15_grid": f"""WITH {_SOME}, {_BM25}, {_QUOTE}, ks AS (SELECT unnest([2, 3, 4, 5, 6, 7, 10]) AS k), fr AS (SELECT gold_column, doc, idx, min(rank) AS rank FROM bm JOIN qs USING (query_key) WHERE rank <= 10 GROUP BY ALL),
+      h AS (SELECT gold_column, gq.doc, quote_no, min(fr.rank) FILTER (contains({sql_squash('text')}, quote)) AS rank FROM gq LEFT JOIN fr USING (gold_column, doc) LEFT JOIN rows ON rows.doc = gq.doc AND rows.idx = fr.idx GROUP BY ALL),
+      c AS (SELECT k, doc, round(100 * sum(length(text)) / (SELECT sum(length(text)) FROM rows r WHERE r.doc = g.doc), 1) AS coverage FROM (SELECT DISTINCT k, doc, idx FROM bm, ks WHERE rank <= k AND doc IN (SELECT doc FROM gq)) g JOIN rows USING (doc, idx) GROUP BY k, doc)
+      SELECT CAST(k AS INTEGER) AS k, n_quotes, n_found, round(100 * n_found / n_quotes, 4) AS recall_percent, coverage FROM (SELECT k, count(*) AS n_quotes, count(*) FILTER (rank <= k) AS n_found FROM h, ks GROUP BY k) JOIN (SELECT k, round(avg(coverage), 4) AS coverage FROM c GROUP BY k) USING (k)""",
+    "q5_reranked": f"""WITH {_ALL}, {_BM25}, {_DENSE}, fu AS (SELECT query_key, doc, idx, round(coalesce(0.7 / (60 + d.rank - 1), 0) + coalesce((1 - 0.7) / (60 + b.rank - 1), 0), 9) AS score FROM (SELECT * FROM dn WHERE rank <= 20) d FULL JOIN (SELECT * FROM bm WHERE rank <= 105) b USING (query_key, doc, idx)),
+      pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_key, doc ORDER BY score DESC, idx) AS pr FROM fu) WHERE pr <= 35), kw AS ({' UNION ALL '.join(_keyword_sql(k) for k in catalog.FIRST_CHUNK_BONUS)}),
+      mm AS (SELECT query_key, doc, idx, pr, score, kw, min(score) OVER w AS a, max(score) OVER w AS b, min(kw) OVER w AS c, max(kw) OVER w AS d FROM pool JOIN kw USING (query_key, doc, idx) WINDOW w AS (PARTITION BY query_key, doc)),
+      mix AS (SELECT query_key, doc, idx, pr, round(0.6 * CASE WHEN a = b THEN 0.5 ELSE (score - a) / (b - a) END + 0.4 * CASE WHEN c = d THEN 0.5 ELSE (kw - c) / (d - c) END, 6) AS score FROM mm)
+      SELECT query_key, doc, idx, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_key, doc ORDER BY score DESC, pr) AS rank FROM mix) WHERE rank <= 7""",
 }
