@@ -161,7 +161,7 @@ def aliases(files: DataFrame, registry: DataFrame) -> tuple[DataFrame, DataFrame
     reg = checkpointed(reg.join(kids, "field_path", "left"))
     maps = path_values(files)
     flat = checkpointed(maps.select("file_id", F.explode("nodes").alias("x")).select("file_id", "x.*").where("p1 <> 'meta'"))
-    ids = maps.select("file_id").distinct()
+    ids = files.select("file_id").distinct()
     table = None
     flat = flat.withColumns({"c1": F.col("p1"), "c2": F.col("p2"), "c3": F.col("p3")})
     for depth in (1, 2, 3):
@@ -177,11 +177,12 @@ def aliases(files: DataFrame, registry: DataFrame) -> tuple[DataFrame, DataFrame
             holders = flat.where(is_up & (F.col("raw_type") == "object")).select("file_id", up.alias("parent")).join(parents, "parent", "left_semi")
             rows = rows.join(parents, "parent", "left_semi")
         level = rows.unionByName(holders.withColumn("name", F.lit(None).cast("string")), allowMissingColumns=True)
-        found = checkpointed(_resolve(level, reg))
+        found = checkpointed(_resolve(checkpointed(level), reg))
         table = found if table is None else table.unionByName(found)
         col = f"c{depth}"
         look = found.select(F.col("parent").alias("_p"), F.col("name").alias("_n"), F.col("stands_for").alias("_s"))
-        flat = flat.join(small_side(look), (here == F.col("_p")) & (F.col(col) == F.col("_n")), "left").withColumn(col, F.coalesce("_s", col)).drop("_p", "_n", "_s")
+        named = flat.join(small_side(look), (here == F.col("_p")) & (F.col(col) == F.col("_n")), "left").withColumn(col, F.coalesce("_s", col)).drop("_p", "_n", "_s")
+        flat = checkpointed(named)
     return flat, table
 
 
