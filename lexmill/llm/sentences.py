@@ -91,6 +91,11 @@ class Mark:
     def after(self) -> str:
         return self.rest.lstrip()
 
+    def numbered(self) -> bool:
+        """Whether a line with a paragraph number follows."""
+        rest = self.rest
+        return "\n" in rest[: len(rest) - len(self.after)] and bool(_NUMBER.match(self.after))
+
     @property
     def word(self) -> str:
         if self._word is None:
@@ -121,7 +126,7 @@ def tally(p: str, marks: list[Mark], n: dict[tuple[str, str], int]) -> None:
             c, nxt = k.c, p[k.end : k.end + 1]
             if not nxt:
                 add("end", k.key)
-            elif k.end - k.start == 1 and (nxt in ",:;)%" or nxt.isspace() and (c.islower() or c.isdigit() and not _NUMBER.match(k.after) or c in "§(,;:%&№" or c.isalpha() and _CODE.search(k.word))):
+            elif k.end - k.start == 1 and (nxt in ",:;)%" or nxt.isspace() and (c.islower() or (c.isdigit() or c == "(") and not k.numbered() or c in "§,;:%&№" or c.isalpha() and _CODE.search(k.word))):
                 add("abbr", k.key)
 
 
@@ -301,18 +306,25 @@ def _boundary(p: str, start: int, k: Mark, spans: list, own: Facts, corpus: Fact
     if body[-1:].isdigit():
         if c.isdigit():
             return False
-        return opens or starts() is not False and not (code and not starts())
+        amount = len(body) - len(body.rstrip("0123456789")) > 3 or any(x in body[:-1] for x in ".,/")
+        return opens or (amount or starts() is not False) and not (code and not starts())
     key = k.key
     if not key:
         return c.isupper() or opens
     short = len(key) == 1 or "." in key
+    # a short word with a period of its own next, that never began a sentence: two abbreviations in a row
+    if len(w) <= (2 if short else 4) and len(key) <= LONGEST and k.after[len(w) : len(w) + 1] == ".":
+        then = k.after[len(w) + 1 :].lstrip()[:1]
+        if short or (then.islower() or then.isdigit()) and not starts():
+            return False
     if not (short or corpus.known(key, sure) or own.abbreviation(key, 10**9)):
         return True
-    if c.isdigit() or _CODE.search(w) or not _first(True if own.n.get(("end", key)) else None, corpus.ender(key)):
+    closes = _first(True if own.n.get(("end", key)) else None, corpus.ender(key))
+    if c.isdigit() or _CODE.search(w) or closes is False or code:
         return False
     if opens:
         return c != "("
-    return starts() is not False and not code
+    return starts() is True or bool(closes) and starts() is not False
 
 
 def corpus_facts(df: DataFrame, text: str = "text") -> DataFrame:
