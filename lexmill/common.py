@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,3 +37,27 @@ def small_side(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
 def salted(key: F.Column | str, n: int, *by: F.Column) -> F.Column:
     """A salt in [0, n) drawn from a hash, so that it is the same when a task is run again."""
     return F.pmod(F.xxhash64(key, *by), F.lit(n)).cast("int")
+
+
+def ensure_package(spark: SparkSession) -> None:
+    """Let the workers import this package: ship it once per context where their path lacks it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_lexmill_ready", False):
+        return
+
+    def importable(_: int) -> bool:
+        import importlib.util
+
+        return importlib.util.find_spec("lexmill") is not None
+
+    if not sc.parallelize([0], 1).map(importable).first():
+        root = os.path.dirname(os.path.abspath(__file__))
+        path = os.path.join(tempfile.mkdtemp(prefix="lexmill-"), "lexmill.zip")  # of the driver, served to the executors by Spark
+        with zipfile.ZipFile(path, "w") as z:
+            for at, _, names in os.walk(root):
+                for n in names:
+                    if n.endswith(".py"):
+                        full = os.path.join(at, n)
+                        z.write(full, os.path.relpath(full, os.path.dirname(root)))
+        sc.addPyFile(path)
+    sc._lexmill_ready = True
