@@ -3,10 +3,11 @@
 1. *Counts.* Words and hyphenated compounds of all pages are counted (inside each batch first).
 2. *Links.* Every word is rewritten by plausible glyph edits (``rn`` for ``m``, ``0`` for ``o`` ...); an
    equi-join with the counts links a rare word to a much more frequent one.
-3. *Vectors.* Co-occurrence pairs of the linked words with frequent words are counted over all
-   pages; skip-gram vectors are trained on the pairs (damped multiplicity), so training grows with
+3. *Vectors.* Co-occurrence pairs of the words on either side of a link with frequent words are
+   counted over all pages; skip-gram vectors are trained on the pairs (damped multiplicity), so training grows with
    the vocabulary, not the corpus. A word's context vector is the mean of its neighbours' vectors;
-   a link holds if both context vectors agree, and the best agreeing link corrects the word.
+   a link holds if both context vectors agree or one word never stands beside a frequent one, and
+   the best such link corrects the word.
 4. *Pages.* Page numbers, running headers and hyphenated line ends are found at their places; rare
    words that are not known good are joined with the links. Furniture is removed and text reflowed.
 
@@ -274,8 +275,8 @@ def _pairs(ids: dict[str, int], linked: int) -> object:
     return run
 
 
-def _rare_pairs(known: frozenset, contexts: frozenset, sites: re.Pattern) -> object:
-    """(word, context, n) for words that are not known good."""
+def _rare_pairs(known: frozenset, contexts: frozenset, right: frozenset) -> object:
+    """(word, context, n) for words that are not known good, and for those known that a link names as ``right``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -286,7 +287,7 @@ def _rare_pairs(known: frozenset, contexts: frozenset, sites: re.Pattern) -> obj
                         continue
                     ws = _WORD.findall(replaced(t))
                     for i, w in enumerate(ws):
-                        if w not in known and sites.search(w) and fair(w):
+                        if w in right or w not in known and fair(w):
                             n.update((w, c) for c in ws[max(0, i - WINDOW) : i] + ws[i + 1 : i + 1 + WINDOW] if c in contexts)
             yield pd.DataFrame([(w, c, k) for (w, c), k in n.items()], columns=["word", "context", "n"])
 
@@ -328,17 +329,21 @@ class Learnt:
 
         vectors = model.getVectors().select(F.col("word").alias("context"), vector_to_array("vector").alias("v"))
         vectors = F.broadcast(checkpointed(vectors))  # at most 1 / CONTEXT words
-        rare = texts.select("pages").mapInPandas(_rare_pairs(self.known, frozenset(contexts), _SITE), "word string, context string, n long").groupBy("word", "context").agg(F.sum("n").alias("n"))
-        rare = checkpointed(rare)
+        right = checkpointed(links.select(F.col("right").alias("word")).distinct())
+        linked = checkpointed(links.select("word").union(right).distinct())
+        # of the right words, frequent ones that are no contexts are sent (at most 1 / FREQUENT); contexts are in ``pairs``, rarer ones are not known good
+        between = frozenset(w for w, _ in _often(good.join(right, "word", "left_semi"), total, FREQUENT)) - ids.keys()
+        rare = texts.select("pages").mapInPandas(_rare_pairs(self.known, frozenset(contexts), between), "word string, context string, n long")
+        rare = checkpointed(rare.join(small_side(linked), "word", "left_semi").groupBy("word", "context").agg(F.sum("n").alias("n")))
         wanted = links.select("word").distinct()
-        right = links.select(F.col("right").alias("word")).distinct()
         of = checkpointed(_context_vectors(rare.join(wanted, "word", "left_semi"), vectors))
-        to = checkpointed(_context_vectors(pairs.join(right, "word", "left_semi").unionByName(rare.join(right, "word", "left_semi")), vectors))
+        to = checkpointed(_context_vectors(pairs.unionByName(rare).join(right, "word", "left_semi"), vectors))
         scored = links.join(of.select("word", F.col("v").alias("a")), "word", "left").join(to.select(F.col("word").alias("right"), F.col("v").alias("b")), "right", "left")
         dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, z: s + z)
         scored = scored.withColumn("likeness", dot(F.col("a"), F.col("b")) / F.sqrt(dot(F.col("a"), F.col("a")) * dot(F.col("b"), F.col("b"))))
         least = F.when(F.col("shows"), LIKE_SEEN).otherwise(LIKE_PLAIN)
-        held = scored.where(F.coalesce(F.col("likeness") >= least, F.col("shows")))
+        # null: no context word beside any occurrence of the word or the right one, so nothing speaks against the counts
+        held = scored.where(F.col("likeness").isNull() | (F.col("likeness") >= least))
         best = F.row_number().over(Window.partitionBy("word").orderBy(F.desc(F.coalesce("likeness", F.lit(0.0)) + 0.05 * F.log10("n_right")), "right"))
         self.corrections = checkpointed(held.withColumn("k", best).where("k = 1").select("word", "right", "shows", "likeness"))
 
