@@ -12,6 +12,7 @@ import re
 from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -107,6 +108,37 @@ def vector_search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return top(scored, ["label"], [F.desc("score"), F.asc("vec_id")], k)
 
 
+def search_all(vectors: DataFrame, queries: DataFrame, k: int, block: int = 4096) -> DataFrame:
+    """(query_id, vec_id, score, rank): exact cosine top k of all stored vectors, whatever their label, for each query.
+
+    Every block of queries meets every block of vectors once and leaves its best candidates, so that no
+    worker holds more than two blocks. A query that is stored finds itself, as in ``vector_search``;
+    null vectors and vectors of length 0 have no cosine and no rows.
+    """
+    n_q, n_v = (max(1, -(-df.count() // block)) for df in (queries, vectors))
+    part = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    v = vectors.where("embedding IS NOT NULL").select("vec_id", "embedding", part(n_v).alias("vb"), every(n_q).alias("qb"))
+    q = queries.where("embedding IS NOT NULL").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), part(n_q).alias("qb"), every(n_v).alias("vb"))
+
+    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+        if a.empty or b.empty:
+            return empty
+        x, y = (np.array(c.tolist(), dtype=np.float64) for c in (a["embedding"], b["q"]))
+        ok, asked = np.linalg.norm(x, axis=1) > 0, np.linalg.norm(y, axis=1) > 0
+        x, y, ids, of = x[ok], y[asked], a["vec_id"].to_numpy()[ok], b["query_id"].to_numpy()[asked]
+        if not len(x) or not len(y):
+            return empty
+        cos = (y / np.linalg.norm(y, axis=1, keepdims=True)) @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T
+        least = np.partition(cos, -k, axis=1)[:, -k] if cos.shape[1] > k else np.full(len(y), -2.0)
+        i, j = np.nonzero(cos >= least[:, None] - 1.01e-4)  # what may tie once scores are rounded to four places
+        return pd.DataFrame({"query_id": of[i], "vec_id": ids[j], "score": cos[i, j]})
+
+    found = v.groupBy("qb", "vb").cogroup(q.groupBy("qb", "vb")).applyInPandas(best, "query_id long, vec_id long, score double")
+    return top(found.withColumn("score", F.round("score", 4)), ["query_id"], [F.desc("score"), F.asc("vec_id")], k)
+
+
 def top(df: DataFrame, by: list[str], order: list[Column], k: int | None, name: str = "rank") -> DataFrame:
     ranked = df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
     return ranked if k is None else ranked.where(F.col(name) <= k)

@@ -35,6 +35,12 @@ def v3_vector_search(s: SparkSession, d: str) -> DataFrame:
     return R.vector_search(v, v.join(first, ["label", "vec_id"], "left_semi"), 10)
 
 
+def v3_search_all(s: SparkSession, d: str) -> DataFrame:
+    """Every fiftieth vector as a query against all vectors; ``v3_vector_search`` stays within a label, as its SQL states."""
+    v = read(s, d, "embeddings")
+    return R.search_all(v, v.where("vec_id % 50 = 0"), 10)
+
+
 def r3_bm25(s: SparkSession, d: str) -> DataFrame:
     return R.ranked(R.bm25(_rows(s, d), R.queries(s)), CFG.top_k, 6)
 
@@ -150,7 +156,7 @@ def m22_gap(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    v3_vector_search, r3_bm25, r5_hybrid, r6_dense, r4_windows, r8_adaptive, r9_merged, r11_assembled, q1_keyword_scores, q5_reranked, q6_explained, h2_parents, h4_context, m1_quotes, m2_hits, m10_scores, m12_summary,
+    v3_vector_search, v3_search_all, r3_bm25, r5_hybrid, r6_dense, r4_windows, r8_adaptive, r9_merged, r11_assembled, q1_keyword_scores, q5_reranked, q6_explained, h2_parents, h4_context, m1_quotes, m2_hits, m10_scores, m12_summary,
     m11_coverage, m15_grid, m16_gold, m18_robustness, m19_compared, m22_gap,
 )}
 
@@ -199,6 +205,8 @@ def _keyword_sql(key: str) -> str:
 SQL = {
     "v3_vector_search": """WITH f AS (SELECT label, min(vec_id) AS query_id FROM embeddings GROUP BY label), s AS (SELECT v.label, v.vec_id, f.query_id, v.embedding::DOUBLE[] AS a, e.embedding::DOUBLE[] AS b FROM embeddings v JOIN f USING (label) JOIN embeddings e ON e.vec_id = f.query_id AND e.label = v.label)
       SELECT label, vec_id, query_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS rank FROM (SELECT label, vec_id, query_id, round(list_dot_product(a, b) / sqrt(list_dot_product(a, a) * list_dot_product(b, b)), 4) AS score FROM s)) WHERE rank <= 10""",
+    "v3_search_all": """WITH s AS (SELECT f.vec_id AS query_id, v.vec_id, round(list_dot_product(v.embedding::DOUBLE[], f.embedding::DOUBLE[]) / sqrt(list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[]) * list_dot_product(f.embedding::DOUBLE[], f.embedding::DOUBLE[])), 4) AS score
+ FROM embeddings f CROSS JOIN embeddings v WHERE f.vec_id % 50 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, score, rank FROM r WHERE rank <= 10""",
     "r3_bm25": f"WITH {_ALL}, {_BM25} SELECT query_key, doc, idx, score, rank FROM (SELECT query_key, doc, idx, round(score, 6) AS score, row_number() OVER (PARTITION BY query_key, doc ORDER BY round(score, 6) DESC, idx) AS rank FROM lex) WHERE rank <= 7",
     "r6_dense": f"WITH {_ALL}, {_BM25}, {_DENSE} SELECT query_key, doc, idx, score, rank FROM (SELECT query_key, doc, idx, round(raw, 6) AS score, row_number() OVER (PARTITION BY query_key, doc ORDER BY round(raw, 6) DESC, idx) AS rank FROM de) WHERE rank <= 7",
     "r5_hybrid": f"""WITH {_ALL}, {_BM25}, {_DENSE}, fu AS (SELECT query_key, doc, idx, round(coalesce(0.7 / (60 + d.rank - 1), 0) + coalesce((1 - 0.7) / (60 + b.rank - 1), 0), 9) AS score FROM (SELECT * FROM dn WHERE rank <= 20) d FULL JOIN (SELECT * FROM bm WHERE rank <= 21) b USING (query_key, doc, idx))
