@@ -164,6 +164,15 @@ def values_of(cell: str | None, how: str, context: str | None) -> list[str]:
     return [w for v in out for w in ([v] if _fits(_squeeze(v), flat) else _recut(v, flat))]
 
 
+def _begins(raw: str, flat: str) -> bool:
+    """Whether some place of the text starts like ``raw``, its list mark and an opening quote aside: if not, no longer run can stand there."""
+    t = _LINE_MARK.sub("", raw.lstrip() + " ", count=1).lstrip()
+    if _squeeze(t) in flat:
+        return True
+    q = t[:1]
+    return q in ("\"", "'") and _squeeze(t[1:].replace(q * 2, q).replace("\\" + q, q)) in flat
+
+
 def _joined(pieces: list[tuple[str, str]], flat: str) -> list[str]:
     """Pieces put together to the longest runs that stand in the text."""
     out: list[str] = []
@@ -171,7 +180,7 @@ def _joined(pieces: list[tuple[str, str]], flat: str) -> list[str]:
     while i < len(pieces):
         raw, best, j = pieces[i][1], _unquote(pieces[i][1]), i + 1
         end = j
-        while j < len(pieces) and pieces[j][1].strip() and j - i <= 8:
+        while j < len(pieces) and pieces[j][1].strip() and _begins(raw, flat):
             if pieces[j][0] == "\n" and _fits(_squeeze(best), flat) and _fits(_squeeze(_unquote(pieces[j][1])), flat):
                 break
             raw = raw + pieces[j][0] + pieces[j][1]
@@ -194,16 +203,21 @@ def _recut(v: str, flat: str) -> list[str]:
             parts = v.split(sep)
         joined, k = [], 0
         while k < len(parts):
-            for e in range(min(len(parts), k + 8), k, -1):
-                w = _unquote(sep.join(parts[k:e]) if sep != " " else " ".join(parts[k:e]))
+            raw, best, end = "", "", k
+            for e in range(k, len(parts)):
+                raw = parts[e] if e == k else raw + sep + parts[e]
+                w = _unquote(raw)
                 if _fits(_squeeze(w), flat):
-                    joined.append(w)
-                    k = e
+                    best, end = w, e + 1
+                elif not _begins(raw, flat):
                     break
+            if best:
+                joined.append(best)
+                k = end
+            elif parts[k].strip():
+                joined = []
+                break
             else:
-                if parts[k].strip():
-                    joined = []
-                    break
                 k += 1
         if joined and len(parts) > 1:
             return joined
