@@ -1,9 +1,10 @@
 """Schemas that drift between files: one typed table and a report of each change.
 
 Rows are loaded as path-value maps that keep each value's raw type. Path-type statistics over all
-files resolve renames: at one object, an unregistered name stands for a registered member if it
-never occurs beside it and the member is missing wherever the name occurs more surely than its
-usual absence explains (a likelihood gain), supported by the likeness of names, types, members and contents.
+files resolve renames, file by file: at one object, an unregistered name stands for the registered
+member that suits it best, if that is missing in this file and the likeness of names, members,
+contents or type speaks for it; how much more often than usual the member is missing where the
+name occurs (a share, whatever the number of files) supports it. Nothing but type: many files must.
 Objects are resolved from the top down, so members of a renamed object are compared under the
 registered path. Then each registered path is projected with its type; a value that cannot be cast
 is null and reported.
@@ -11,14 +12,13 @@ is null and reported.
 Redelivered files (same ``file_id``) are read once. A null payload, one that is not JSON or not an
 object counts as an empty object: every required top member is ``removed``. Null values are never
 ``retyped``; a member named twice keeps its last value; empty tables give no rows. The alias table
-has one row per foreign member name, the registry one per agreed member; both are counted before
-they are broadcast.
+has one row per renamed member of a file and grows with the files, the registry one per agreed
+member; both are counted before they are broadcast, else joined by shuffle.
 """
 
 from __future__ import annotations
 
 import json
-import math
 import re
 from difflib import SequenceMatcher
 
@@ -106,18 +106,14 @@ def likeness(a: str, b: str) -> float:
     return max(0.8 * shared, SequenceMatcher(None, "".join(x), "".join(y)).ratio())
 
 
-def _score(n: pd.Series, n_alone: pd.Series, absent: pd.Series, typed: pd.Series, u: pd.Series, r: pd.Series, shared: pd.Series, domain: pd.Series) -> pd.Series:
-    out = []
-    for k, alone, base, fit, a, b, members, same in zip(n, n_alone, absent, typed, u, r, shared, domain):
-        gain = k * math.log(1 / min(max(base, 1e-4), 0.9999))
-        near = likeness(a, b)
-        sure = alone == k and (gain > 7 or near >= 0.6 and gain > 0.1 or members >= 0.5 or (near >= 0.3 and gain > 3) or (same >= 0.5 and gain > 1))
-        out.append((min(gain, 20) / 20 + 2 * near + 2 * members + same + 0.5 * fit) if sure and fit >= 0.3 else -1.0)
-    return pd.Series(out, dtype="float64")
-
-
 def _resolve(level: DataFrame, registered: DataFrame) -> DataFrame:
-    """Aliases (parent, name, stands_for). ``level``: (file_id, parent, name, raw_type, members), parents under registered paths."""
+    """Aliases (file_id, parent, name, stands_for). ``level``: (file_id, parent, name, raw_type, members), parents under registered paths.
+
+    Every file is settled by itself: a foreign name stands for the registered name that suits it best if that
+    is absent there and likeness, members or contents speak for it. What the corpus adds are shares: how
+    often the two exclude each other, against how often the registered name is absent at all. Only where
+    nothing but the type fits, as many files must show it as rule out that a removed and an added member met by chance.
+    """
     reg = registered.select("parent", F.col("name").alias("r"), "json_type", "child_names")
     holders = level.where("name IS NULL").select("file_id", "parent")
     named = level.where("name IS NOT NULL")
@@ -141,19 +137,28 @@ def _resolve(level: DataFrame, registered: DataFrame) -> DataFrame:
     told = pairs.where(alone).select("file_id", "parent", "name", "r", F.explode("tokens").alias("token"))
     per_file = told.join(held, ["parent", "r", "token"], "left").groupBy("file_id", "parent", "name", "r").agg(F.max(F.coalesce("hit", F.lit(0.0))).alias("hit"))
     domain = per_file.groupBy("parent", "name", "r").agg(F.avg("hit").alias("domain"))
+    typed = (fit & F.lit(True)).cast("double") * 0.3 + strict.cast("double") * 0.7
+    shared = F.coalesce(F.when(F.col("members").isNotNull() & F.col("child_names").isNotNull(), overlap), F.lit(0.0))
+    pairs = pairs.select("file_id", "parent", "name", "r", "absent", alone.alias("alone"), typed.alias("own_fit"), strict.alias("strict"), shared.alias("own_shared"))
     stats = pairs.groupBy("parent", "name", "r").agg(
-        F.count("*").alias("n"), F.sum(alone.cast("int")).alias("n_alone"), F.first("absent").alias("absent"),
-        F.avg((fit & F.lit(True)).cast("double") * 0.3 + strict.cast("double") * 0.7).alias("fit"),
-        F.avg(F.coalesce(F.when(F.col("members").isNotNull() & F.col("child_names").isNotNull(), overlap), F.lit(0.0))).alias("shared"),
+        F.sum(F.col("alone").cast("int")).alias("n_alone"), F.avg(F.col("alone").cast("double")).alias("rate"), F.first("absent").alias("absent"), F.avg("own_fit").alias("fit"), F.avg("own_shared").alias("shared"),
     )
     stats = stats.join(domain, ["parent", "name", "r"], "left").fillna(0.0, ["domain"])
-    scored = stats.withColumn("score", F.pandas_udf(_score, "double")("n", "n_alone", "absent", "fit", "name", "r", "shared", "domain")).where("score >= 0")
-    best = F.row_number().over(Window.partitionBy("parent", "name").orderBy(F.desc("score"), "r"))
-    return scored.withColumn("k", best).where("k = 1").select("parent", "name", F.col("r").alias("stands_for"), "score")
+    near = F.pandas_udf(lambda a, b: pd.Series([likeness(x, y) for x, y in zip(a, b)], dtype="float64"), "double")
+    gain = F.log(F.greatest("rate", F.lit(1e-4)) / F.least(F.greatest("absent", F.lit(1e-4)), F.lit(0.9999)))
+    stats = checkpointed(stats.select("parent", "name", "r", "rate", "fit", "shared", "domain", near("name", "r").alias("near"), F.least(F.greatest(gain, F.lit(0.0)), F.lit(5.0)).alias("gain"), (F.col("n_alone") * gain).alias("weight")))
+    here = pairs.drop("absent").join(small_side(stats), ["parent", "name", "r"]).join(per_file, ["file_id", "parent", "name", "r"], "left")
+    members, same, kinds = F.greatest("shared", "own_shared"), F.greatest("domain", F.coalesce("hit", F.lit(0.0))), F.greatest("fit", "own_fit")
+    apart = (F.col("rate") >= 0.5) & ((F.col("near") >= 0.3) & F.col("strict") & (F.col("gain") > 0.7) | (same >= 0.5) & (F.col("gain") > 0.5) | F.col("strict") & (F.col("weight") > 7))
+    sure = F.col("alone") & (kinds >= 0.3) & ((F.col("near") >= 0.6) | (members >= 0.5) | apart)
+    score = F.col("gain") / 5 + 2 * F.col("near") + 2 * members + same + 0.5 * kinds
+    scored = here.select("file_id", "parent", "name", "r", "alone", sure.alias("sure"), score.alias("score")).where("sure OR NOT alone")
+    best = F.row_number().over(Window.partitionBy("file_id", "parent", "name").orderBy(F.desc("score"), "r"))
+    return scored.withColumn("k", best).where("k = 1 AND sure").select("file_id", "parent", "name", F.col("r").alias("stands_for"), "score")
 
 
 def aliases(files: DataFrame, registry: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(path-value rows under registered paths, alias table). Resolves the three levels from the top down."""
+    """(path-value rows under registered paths, alias table by file). Resolves the three levels from the top down."""
     reg = registry.select(
         "field_path", "json_type", "is_required", F.regexp_extract("field_path", r"^(?:(.*)\.)?[^.]+$", 1).alias("parent"), F.substring_index("field_path", ".", -1).alias("name")
     )
@@ -180,8 +185,8 @@ def aliases(files: DataFrame, registry: DataFrame) -> tuple[DataFrame, DataFrame
         found = checkpointed(_resolve(checkpointed(level), reg))
         table = found if table is None else table.unionByName(found)
         col = f"c{depth}"
-        look = found.select(F.col("parent").alias("_p"), F.col("name").alias("_n"), F.col("stands_for").alias("_s"))
-        named = flat.join(small_side(look), (here == F.col("_p")) & (F.col(col) == F.col("_n")), "left").withColumn(col, F.coalesce("_s", col)).drop("_p", "_n", "_s")
+        look = found.select(F.col("file_id").alias("_f"), F.col("parent").alias("_p"), F.col("name").alias("_n"), F.col("stands_for").alias("_s"))
+        named = flat.join(small_side(look), (F.col("file_id") == F.col("_f")) & (here == F.col("_p")) & (F.col(col) == F.col("_n")), "left").withColumn(col, F.coalesce("_s", col)).drop("_f", "_p", "_n", "_s")
         flat = checkpointed(named)
     return flat, table
 
