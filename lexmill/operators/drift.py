@@ -5,7 +5,7 @@ files resolve renames, file by file: at one object, an unregistered name stands
 member that suits it best, if that is missing in this file and the likeness of names, members,
 contents or type speaks for it; how much more often than usual the member is missing where the
 name occurs (a share, whatever the number of files) supports it. Nothing but type: many files must.
-Objects are resolved from the top down, so members of a renamed object are compared under the
+Objects are resolved from the top down, as many levels as the registry has, so members of a renamed object are compared under the
 registered path. Then each registered path is projected with its type; a value that cannot be cast
 is null and reported.
 
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ..common import checkpointed, small_side
 
-_NODE = "array<struct<p1: string, p2: string, p3: string, raw_type: string, value: string, members: array<string>, tokens: array<string>>>"
+_NODE = "array<struct<path: array<string>, raw_type: string, value: string, members: array<string>, tokens: array<string>>>"
 
 
 def raw_type(v: object) -> str:
@@ -65,30 +65,28 @@ def tokens(v: object) -> list[str] | None:
     return [x if isinstance(x, str) else json.dumps(x, ensure_ascii=False) for x in held]
 
 
-def nodes(payload: str | None) -> list[tuple]:
-    """(p1, p2, p3, raw_type, value, members, tokens) of the first three levels of a payload."""
+def nodes(payload: str | None, depth: int | None = None) -> list[tuple]:
+    """(path, raw_type, value, members, tokens) of a payload's members, down to ``depth`` levels of objects (all if None)."""
     try:
         top = json.loads(payload)
     except (TypeError, ValueError, RecursionError):
         return []
     out: list[tuple] = []
-
-    def walk(o: dict, at: tuple) -> None:
+    left = [((), top)] if isinstance(top, dict) else []
+    while left:
+        at, o = left.pop()
         for k, v in o.items():
             path = (*at, k)
             text = v if isinstance(v, str) else None if v is None else json.dumps(v, ensure_ascii=False)
-            out.append((*path, *(None,) * (3 - len(path)), raw_type(v), text, sorted(v) if isinstance(v, dict) else None, tokens(v)))
-            if isinstance(v, dict) and len(path) < 3:
-                walk(v, path)
-
-    if isinstance(top, dict):
-        walk(top, ())
+            out.append((path, raw_type(v), text, sorted(v) if isinstance(v, dict) else None, tokens(v)))
+            if isinstance(v, dict) and (depth is None or len(path) < depth):
+                left.append((path, v))
     return out
 
 
-def path_values(files: DataFrame) -> DataFrame:
+def path_values(files: DataFrame, depth: int | None = None) -> DataFrame:
     """(file_id, nodes): each file once, as its path-value map with raw types."""
-    load = F.pandas_udf(lambda s: s.map(nodes), _NODE)
+    load = F.pandas_udf(lambda s: s.map(lambda p: nodes(p, depth)), _NODE)
     once = files.select("file_id", "payload").dropDuplicates(["file_id"])
     return once.select("file_id", load("payload").alias("nodes"))
 
@@ -158,46 +156,46 @@ def _resolve(level: DataFrame, registered: DataFrame) -> DataFrame:
 
 
 def aliases(files: DataFrame, registry: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(path-value rows under registered paths, alias table by file). Resolves the three levels from the top down."""
+    """(path-value rows under registered paths, alias table by file), resolved from the top down.
+
+    ``path`` holds a member's names, ``std`` those it is registered under. As many levels are resolved as the registry,
+    the agreed schema, has; deeper members belong to a value.
+    """
     reg = registry.select(
         "field_path", "json_type", "is_required", F.regexp_extract("field_path", r"^(?:(.*)\.)?[^.]+$", 1).alias("parent"), F.substring_index("field_path", ".", -1).alias("name")
     )
     kids = reg.groupBy(F.col("parent").alias("field_path")).agg(F.collect_set("name").alias("child_names"))
     reg = checkpointed(reg.join(kids, "field_path", "left"))
-    maps = path_values(files)
-    flat = checkpointed(maps.select("file_id", F.explode("nodes").alias("x")).select("file_id", "x.*").where("p1 <> 'meta'"))
-    ids = files.select("file_id").distinct()
+    levels = reg.agg(F.max(F.size(F.split("field_path", r"\.")))).first()[0] or 1
+    maps = path_values(files, levels)
+    flat = checkpointed(maps.select("file_id", F.explode("nodes").alias("x")).select("file_id", "x.*", F.col("x.path").alias("std")).where("path[0] <> 'meta'"))
+    parents = small_side(reg.where("json_type = 'object'").select(F.col("field_path").alias("parent")))
     table = None
-    flat = flat.withColumns({"c1": F.col("p1"), "c2": F.col("p2"), "c3": F.col("p3")})
-    for depth in (1, 2, 3):
-        here = {1: F.lit(""), 2: F.col("c1"), 3: F.concat_ws(".", "c1", "c2")}[depth]
-        own = {1: F.col("p2").isNull(), 2: F.col("p2").isNotNull() & F.col("p3").isNull(), 3: F.col("p3").isNotNull()}[depth]
-        rows = flat.where(own).select("file_id", here.alias("parent"), F.col(f"p{depth}").alias("name"), "raw_type", "members", "tokens")
-        parents = small_side(reg.where("json_type = 'object'").select(F.col("field_path").alias("parent")))
-        if depth == 1:
-            holders = ids.select("file_id", F.lit("").alias("parent"))
+    for k in range(1, levels + 1):
+        up = F.array_join(F.slice("std", 1, k - 1), ".") if k > 1 else F.lit("")
+        rows = flat.where(F.size("path") == k).select("file_id", up.alias("parent"), F.get("path", F.lit(k - 1)).alias("name"), "raw_type", "members", "tokens")
+        if k == 1:
+            holders = files.select("file_id", F.lit("").alias("parent")).distinct()
         else:
-            up = {2: F.col("c1"), 3: F.concat_ws(".", "c1", "c2")}[depth]
-            is_up = {2: F.col("p2").isNull(), 3: F.col("p2").isNotNull() & F.col("p3").isNull()}[depth]
-            holders = flat.where(is_up & (F.col("raw_type") == "object")).select("file_id", up.alias("parent")).join(parents, "parent", "left_semi")
+            above = flat.where((F.size("path") == k - 1) & (F.col("raw_type") == "object"))
+            holders = above.select("file_id", F.array_join("std", ".").alias("parent")).join(parents, "parent", "left_semi")
             rows = rows.join(parents, "parent", "left_semi")
         level = rows.unionByName(holders.withColumn("name", F.lit(None).cast("string")), allowMissingColumns=True)
         found = checkpointed(_resolve(checkpointed(level), reg))
         table = found if table is None else table.unionByName(found)
-        col = f"c{depth}"
         look = found.select(F.col("file_id").alias("_f"), F.col("parent").alias("_p"), F.col("name").alias("_n"), F.col("stands_for").alias("_s"))
-        named = flat.join(small_side(look), (F.col("file_id") == F.col("_f")) & (here == F.col("_p")) & (F.col(col) == F.col("_n")), "left").withColumn(col, F.coalesce("_s", col)).drop("_f", "_p", "_n", "_s")
-        flat = checkpointed(named)
+        own = (F.col("file_id") == F.col("_f")) & (up == F.col("_p")) & (F.get("path", F.lit(k - 1)) == F.col("_n"))
+        named = F.transform("std", lambda x, i: F.when((i == k - 1) & F.col("_s").isNotNull(), F.col("_s")).otherwise(x))  # noqa: B023
+        flat = checkpointed(flat.join(small_side(look), own, "left").withColumn("std", named).drop("_f", "_p", "_n", "_s"))
     return flat, table
 
 
 def changes_of(rows: list, reg: list) -> list[tuple[str, str]]:
-    """(change, field_path) of one file. ``rows``: its nodes with names (p*) and registered names (c*)."""
+    """(change, field_path) of one file. ``rows``: its nodes with names (path) and registered names (std)."""
     agreed = {r["field_path"]: r for r in reg}
     have: dict[str, list] = {}
     for r in rows:
-        own = [r[f"p{i}"] for i in (1, 2, 3) if r[f"p{i}"] is not None]
-        std = [r[f"c{i}"] for i in (1, 2, 3) if r[f"c{i}"] is not None]
+        own, std = list(r["path"]), list(r["std"])
         have.setdefault(".".join(std[:-1]), []).append((own[-1], std[-1], r["raw_type"]))
     out: list[tuple[str, str]] = []
 
@@ -235,7 +233,7 @@ def changes(files: DataFrame, registry: DataFrame) -> DataFrame:
     """(file_id, change, field_path): every change of a file against the registry, topmost paths only."""
     flat, _ = aliases(files, registry)
     ids = files.select("file_id").distinct()
-    per_file = flat.groupBy("file_id").agg(F.collect_list(F.struct("p1", "p2", "p3", "c1", "c2", "c3", "raw_type")).alias("rows"))
+    per_file = flat.groupBy("file_id").agg(F.collect_list(F.struct("path", "std", "raw_type")).alias("rows"))
     reg = registry.select("field_path", "json_type", "is_required").agg(F.collect_list(F.struct("field_path", "json_type", "is_required")).alias("reg"))
     report = F.pandas_udf(lambda a, b: pd.Series([changes_of([] if x is None else list(x), list(y)) for x, y in zip(a, b)]), "array<struct<change: string, field_path: string>>")
     whole = ids.join(per_file, "file_id", "left").crossJoin(F.broadcast(reg))  # the registry is one row
@@ -256,8 +254,8 @@ def conformed(files: DataFrame, registry: DataFrame) -> DataFrame:
     """
     leaves = [(r["field_path"], r["json_type"]) for r in registry.where("json_type <> 'object'").orderBy("field_path").collect()]
     flat, _ = aliases(files, registry)
-    path = F.concat_ws(".", "c1", "c2", "c3")
-    first = flat.groupBy("file_id", path.alias("path")).agg(F.min_by("value", F.struct(F.col("p3") != F.col("c3"), F.col("p2") != F.col("c2"), "p1", "p2", "p3")).alias("value"))
+    foreign = F.reverse(F.zip_with("path", "std", lambda a, b: a != b))  # of two values for one path that under the registered names
+    first = flat.groupBy("file_id", F.array_join("std", ".").alias("at")).agg(F.min_by("value", F.struct(foreign, "path")).alias("value")).withColumnRenamed("at", "path")
     maps = first.groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("path", "value"))).alias("m"))
     whole = files.select("file_id").distinct().join(maps, "file_id", "left")
     got = lambda p: F.element_at("m", F.lit(p))
@@ -267,5 +265,5 @@ def conformed(files: DataFrame, registry: DataFrame) -> DataFrame:
 
 def statistics(files: DataFrame) -> DataFrame:
     """(path, raw_type, n_files, first_file, last_file): where each path occurs with which type."""
-    rows = path_values(files).select("file_id", F.explode("nodes").alias("x")).select("file_id", F.concat_ws(".", "x.p1", "x.p2", "x.p3").alias("path"), "x.raw_type")
+    rows = path_values(files).select("file_id", F.explode("nodes").alias("x")).select("file_id", F.array_join("x.path", ".").alias("path"), "x.raw_type")
     return rows.groupBy("path", "raw_type").agg(F.countDistinct("file_id").alias("n_files"), F.min("file_id").alias("first_file"), F.max("file_id").alias("last_file"))

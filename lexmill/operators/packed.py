@@ -28,8 +28,10 @@ from ..common import checkpointed, small_side
 
 #: fixed values: delimiter characters in the order in which a rule prefers them
 BARS = ("｜", "¦", "|", "\t")
+#: fixed values: separators that may cut a value again, in the order in which they are tried
+SPARE = (";", "|", "\n", "\t", "/", "@")
 
-_PRINTED = {0xE001: "#", 0xE002: "*", 0xE003: "@", 0xE004: "Q"}
+_PRINTED = {0xE001: "#", 0xE002: "*", 0xE003: "@", 0xE004: "Q", 0xE005: "/"}
 _INLINE = re.compile(r"(?<!\S)\((\d{1,3})\)\s")
 _LINE_MARK = re.compile(r"^\s*(?:[-*•–]\s+|\(\d{1,3}\)\s*|\d{1,3}[.)]\s+)")
 
@@ -44,14 +46,19 @@ def skeleton(cell: str) -> str:
     s = re.sub(r"\s\(\d{1,3}\)\s", "\ue003", s)
     s = re.sub("(^|[|｜¦;\t\n\ue001-\ue003]) *[\"']", "\\1\ue004", s)
     s = re.sub("[\"'] *(?=$|[|｜¦;\t\n\ue003])", "\ue004", s)
-    s = re.sub("[^|｜¦;\t\n\ue001-\ue004]+", "a", s)
+    s = s.replace(" / ", "\ue005")
+    s = re.sub("[^|｜¦;\t\n\ue001-\ue005]+", "a", s)
     while (n := re.sub(r"(.{1,6}?)\1+", r"\1", s, flags=re.S)) != s:
         s = n
     return s.translate(_PRINTED)
 
 
 def rule(skel: str) -> str:
-    """The splitting rule of a skeleton: ``json``, or kinds of separators joined by ``,`` in the order of use."""
+    """The splitting rule of a skeleton: ``json``, or kinds of separators joined by ``,`` in the order of use.
+
+    After a blank come the separators that the skeleton holds at all; only they may cut a value again that does not
+    stand in the text.
+    """
     if skel == "[]":
         return "json"
     kinds = [b for b in BARS if b in skel]
@@ -65,7 +72,9 @@ def rule(skel: str) -> str:
         kinds.append(";?")
     if "#" in skel[:1] and "@" in skel:
         kinds.append("@")
-    return ",".join({"\t": "tab", "\n": "nl"}.get(k, k) for k in kinds) or "one"
+    spare = [k for k in SPARE if k in skel]
+    named = lambda ks: ",".join({"\t": "tab", "\n": "nl"}.get(k, k) for k in ks)
+    return f"{named(kinds) or 'one'} {named(spare)}".strip()
 
 
 def _hide(t: str) -> str:
@@ -95,20 +104,49 @@ def _unquote(v: str) -> str:
 
 
 def _quoted_split(text: str, delimiter: str) -> list[str]:
-    """Cut at ``delimiter`` outside quotes that open right after a delimiter and close right before one."""
-    out, at = [], 0
-    d = re.escape(delimiter)
-    for m in re.finditer(rf"\s*(?:\"(?:[^\"]|\"\"|\"(?!\s*(?:{d}|$)))*\"(?=\s*(?:{d}|$))|[^{d}]*)\s*(?:{d}|$)", text, re.S):
-        if m.start() != at or (m.end() == m.start() and m.start() == len(text)):
-            continue
-        out.append(text[m.start() : m.end()].removesuffix(delimiter))
-        at = m.end()
-    return out
+    """Cut at ``delimiter`` outside quotes that open right after a delimiter and close right before one; one pass.
+
+    An odd run of quotes before a delimiter closes (pairs are escaped quotes); without one the last even run does,
+    and without that the quote is an ordinary character.
+    """
+    n = len(text)
+
+    def past_blanks(i: int) -> int:
+        while i < n and text[i] != delimiter and text[i].isspace():
+            i += 1
+        return i
+
+    runs = [m.span() for m in re.finditer('"+', text)]
+    stops = [past_blanks(b) for _, b in runs]
+    closing = [k == n or text[k] == delimiter for k in stops]
+    following, even = [-1] * (len(runs) + 1), -1
+    for r in range(len(runs) - 1, -1, -1):
+        odd = (runs[r][1] - runs[r][0]) % 2
+        following[r] = r if closing[r] and odd else following[r + 1]
+        if closing[r] and not odd and even < 0:
+            even = r
+    out, at, r = [], 0, 0
+    while True:
+        i, end = past_blanks(at), -1
+        if i < n and text[i] == '"':
+            while runs[r][0] < i:
+                r += 1
+            own = runs[r][1] - runs[r][0] - 1  # quotes after the opening one
+            close = r if closing[r] and own % 2 else following[r + 1] if following[r + 1] >= 0 else even if even > r else r if closing[r] and own else -1
+            end = stops[close] if close >= 0 else -1
+        if end < 0:
+            end = text.find(delimiter, i)
+            end = n if end < 0 else end
+        out.append(text[at:end])
+        if end >= n:
+            return out
+        at = end + 1
 
 
 def split_cell(cell: str, how: str) -> list[tuple[str, str]]:
     """(delimiter before, value) of a cell under a rule; values stripped of blanks, marks, quoting and escapes."""
     t = cell.strip()
+    how = how.split(" ")[0]
     if how == "json":
         try:
             got = json.loads(t)
@@ -151,6 +189,7 @@ def values_of(cell: str | None, how: str, context: str | None) -> list[str]:
     if cell is None or not cell.strip():
         return []
     pieces = split_cell(cell, how)
+    spare = tuple({"tab": "\t", "nl": "\n"}.get(k, k) for k in how.partition(" ")[2].split(",") if k)
     if not context:
         return [v for _, p in pieces if (v := _unquote(p) if how != "json" else p.strip())]
     flat = _squeeze(context)
@@ -161,7 +200,11 @@ def values_of(cell: str | None, how: str, context: str | None) -> list[str]:
         finer = _joined([(";" if i else d, x) for d, p in pieces for i, x in enumerate(p.split(";"))], flat)
         if all(_fits(_squeeze(v), flat) for v in finer):
             return finer
-    return [w for v in out for w in ([v] if _fits(_squeeze(v), flat) else _recut(v, flat))]
+    return [w for v in out for w in ([v] if _fits(_squeeze(v), flat) else _recut(v, flat, spare))]
+
+
+#: a spare separator as it stands in a cell, with its blanks first
+_AS_CUT = {";": ("; ", ";"), "|": (" | ", "|"), "/": (" / ",)}
 
 
 def _begins(raw: str, flat: str) -> bool:
@@ -194,10 +237,10 @@ def _joined(pieces: list[tuple[str, str]], flat: str) -> list[str]:
     return out
 
 
-def _recut(v: str, flat: str) -> list[str]:
-    """A piece that is not in the text: cut it further at characters that may delimit, if all parts then are."""
-    for sep in ("; ", ";", " | ", "|", "\n", "\t", " / ", " "):
-        if sep == " ":
+def _recut(v: str, flat: str, spare: tuple[str, ...] = SPARE) -> list[str]:
+    """A piece that is not in the text: cut it further at separators that its skeleton holds, if all parts then are."""
+    for sep in (x for k in spare for x in _AS_CUT.get(k, (k,))):
+        if sep == "@":
             parts = re.split(r"(?:^|\s)\(\d{1,3}\)\s", v)
         else:
             parts = v.split(sep)
@@ -250,7 +293,7 @@ def skeletons(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
 
 
 def unpack(df: DataFrame, key: str, fields: list[str], context: DataFrame | None = None) -> DataFrame:
-    """(key, field_name, value_no, quote). ``context``: (key, context), the text in which the values stand."""
+    """(key, field_name, value_no, quote). ``context``: (key, context[, at]), the text in which the values stand; the latest delivery that has one counts."""
     skel = F.pandas_udf(lambda s: s.map(skeleton), "string")
     masked = cells(df, key, fields).withColumn("skeleton", skel("cell"))
     rules = checkpointed(skeletons(df, key, fields).select("skeleton", "how"))
@@ -259,7 +302,9 @@ def unpack(df: DataFrame, key: str, fields: list[str], context: DataFrame | None
         ruled = ruled.withColumn("context", F.lit(None).cast("string"))
     else:
         wanted = df.select(F.col(key).alias("key")).distinct()
-        kept = context.join(wanted, "key", "left_semi").groupBy("key").agg(F.max("context").alias("context"))
+        newest = F.struct(F.col("at") if "at" in context.columns else F.lit(0), "context")
+        has = context.where("context IS NOT NULL").join(wanted, "key", "left_semi")
+        kept = has.groupBy("key").agg(F.max_by("context", newest).alias("context"))
         ruled = ruled.join(kept, "key", "left")
     out = ruled.select("key", "field_name", "cell", "how", "context")
     return out.mapInPandas(_extract, "key string, field_name string, value_no int, quote string").distinct()

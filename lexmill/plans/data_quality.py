@@ -12,7 +12,7 @@ FIELDS = ["q1_context_quotes", "q2_penalty_quotes", "q3_moderation_quotes"]
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reasoning = read(spark, sf_dir, "processed_json").select(F.col("filename").alias("key"), F.col("segments.reasoning").alias("context"))
+    reasoning = read(spark, sf_dir, "processed_json").select(F.col("filename").alias("key"), F.col("segments.reasoning").alias("context"), F.col("ingested_at").alias("at"))
     return packed.unpack(read(spark, sf_dir, "golden_dataset_template"), "document_name", FIELDS, reasoning).withColumnRenamed("key", "document_name")
 
 
