@@ -111,6 +111,7 @@ _GOES_ON = re.compile(
     r"(?:(?:\bods\.|písm\.|č\.|č\.k\.|č\.\s*k\.|čl\.|\bsp\.|\bzn\.|\bsp\.\s*zn\.|z\.\s*z\.|\bzb\.|\bresp\.|\bnapr\.|\btzn\.|\btzv\.|\bt\.j\.|" + "|".join(rf"{t}\." for t in _TITLES) + r")\s*|(?:\s|^)(?:v|z|zo|k|ku|o|po|pri|pre|na|do))$",
     re.I,
 )
+# List items, and lines printed letter by letter.
 _LIST_ITEM = re.compile(r"^(?:[a-z]\)|\d+\.(?!\s*\d)|•)\s")
 _SPACED_LINE = re.compile(r"^\s*(?:[a-zA-ZÁ-Žá-ž]\s+){3,}[a-zA-ZÁ-Žá-ž]\s*$")
 
@@ -203,6 +204,7 @@ def cut_at_blank(x: Column | str, most: int = 200) -> Column:
 
 def header_meta(x: Column | str) -> Column:
     """struct(date_raw, case_id, ecli, court, document_type), null where nothing matches."""
+    # The patterns of the members.
     t = _c(x)
     got = lambda p, g=1: F.nullif(F.regexp_extract(t, p, g), F.lit(""))
     kind = got(r"(?iu)(?<![\p{L}\p{N}_])(ROZSUDOK|UZNESENIE)(?![\p{L}\p{N}_])")
@@ -346,6 +348,7 @@ def text_health(x: Column | str) -> Column:
     return F.when(n == 0, "empty").when(n < 50, "short").when(share < 0.4, "garbled").otherwise("passed")
 
 
+# Fixed value: what counts as a token.
 TOKEN = r"§\d+|\d{1,3}(?:\.\d{3})*(?:,\d+)?%?|\d{6,}|[a-záäčďéíľĺňóôŕšťúýžA-ZÁÄČĎÉÍĽĹŇÓÔŔŠŤÚÝŽ]+"
 
 
@@ -375,3 +378,88 @@ def rough_tokens(x: Column | str) -> Column:
 def first_tokens(x: Column | str, n: int | Column) -> Column:
     """The text's first ``n`` tokens, joined by blanks."""
     return F.array_join(F.slice(F.split(squash(x), " "), F.lit(1), n if isinstance(n, Column) else F.lit(n)), " ")
+
+
+def truncated_tokens(x: Column | str, budget: int, *others: Column | str) -> Column:
+    """The text's first tokens, as many as ``budget`` leaves once the other parts are in; nothing if they fill it."""
+    left = F.lit(budget)
+    for o in others:
+        left = left - token_length(o)
+    return first_tokens(x, F.greatest(left, F.lit(0)).cast("int"))
+
+
+def safe_number(x: Column | str) -> Column:
+    """A number, or null where there is none."""
+    return (F.col(x) if isinstance(x, str) else x).try_cast("double")
+
+
+def rounded(x: Column | str, digits: int = 0) -> Column:
+    """Half to even."""
+    return F.bround(F.col(x) if isinstance(x, str) else x, digits)
+
+
+# Signs of a decision's parts, in plain letters, printed apart or not.
+STRUCTURE = {
+    "has_odovodnenie": spaced_word("odovodnenie"), "has_poucenie": spaced_word("poucenie"), "has_vyrok": rf"(?:takto\s*)?{spaced_word('rozhodol')}|vyrok",
+}
+
+
+def structure_flags(x: Column | str) -> list[Column]:
+    """0 or 1 for each part of a decision that shows in the plain text."""
+    t = plain(x)
+    return [t.rlike(portable(p)).cast("int").alias(n) for n, p in STRUCTURE.items()]
+
+
+# Letters of dockets in the trade register.
+TRADE = ("cb", "cob", "cozm", "cbi", "cbs")
+
+
+def is_trade_register(case: Column | str) -> Column:
+    low = F.lower(_c(case))
+    return F.exists(F.array(*map(F.lit, TRADE)), lambda m: F.contains(low, m))
+
+
+# Official names of courts by their short ones.
+COURT_NAMES = {
+    "KS Banská Bystrica": "Krajský súd Banská Bystrica", "KS Bratislava": "Krajský súd Bratislava", "KS Košice": "Krajský súd Košice", "KS Nitra": "Krajský súd Nitra", "KS Prešov": "Krajský súd Prešov",
+    "KS Trenčín": "Krajský súd Trenčín", "KS Trnava": "Krajský súd Trnava", "KS Žilina": "Krajský súd Žilina", "NS SR": "Najvyšší súd Slovenskej republiky", "ÚS SR": "Ústavný súd Slovenskej republiky",
+}
+
+
+def official_court(name: Column | str) -> Column:
+    """The official name of a short one; other names stay."""
+    n = F.col(name) if isinstance(name, str) else name
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in COURT_NAMES.items() for x in kv])[n], n)
+
+
+def same_court(asked: Column, found: Column) -> Column:
+    """Whether two court names agree: both of the supreme court, or the town of a regional court asked for stands in the name found."""
+    a, f = F.lower(_c(asked)), F.lower(_c(found))
+    top = F.lit("najvyšší")
+    return (F.contains(a, top) & F.contains(f, top)) | F.contains(f, F.lower(F.replace(_c(asked), F.lit("Krajský súd "), F.lit(""))))
+
+
+def docket_key(case: Column | str) -> Column:
+    """A docket number without blanks and slashes, in small letters."""
+    return F.lower(F.regexp_replace(_c(case), r"[ /]", ""))
+
+
+def experiment_parts(name: Column | str) -> Column:
+    """struct(family, k, window) of an experiment's name (``..._top7_w0``, ``..._fk8_c1p5_c2p5``); null where a part is missing."""
+    n = _c(name)
+    number = lambda p: F.nullif(F.regexp_extract(n, p, 1), F.lit("")).cast("int")
+    family = F.regexp_replace(F.regexp_replace(n, r"_top\d+_w\d+$", ""), r"_fk\d+_c1p\d+_c2p\d+$", "")
+    return F.struct(family.alias("family"), number(r"top(\d+)").alias("k"), number(r"w(\d+)").alias("window"))
+
+
+# Patterns of entities.
+ENTITIES = {
+    "money": r"(?i)(?<![\p{L}\p{N}_])\d[\d\s.]*[.,]\d{2}\s*(eur|€|skk?|czk)?|(?<![\p{L}\p{N}_])\d[\d\s.]*\s*(eur|€|skk?|czk)(?![\p{L}\p{N}_])", "percent": r"\d+(?:[.,]\d+)?\s*%", "legal_ref": r"§\s*\d+[a-zA-Z]*",
+    "invoice": r"(?i)(faktúr[ayou]?\s*č\.?\s*)?\d{6,}", "article": r"(?i)(čl\.|článo?k)\s*[IVXLC\d]+(?:\.\d+)?", "party_argument": r"(?i)(žalovan[ýá]|žalobca|žalobkyňa).{0,40}(namietal|tvrdil|uviedol|poukázal)",
+    "procedural": r"(?i)(trov[yau]|odvolac[íie]|dovolan|procesn|civilný sporový poriadok|csp|pojednávan)",
+}
+
+
+def entity_counts(x: Column | str) -> list[Column]:
+    """How often each kind of entity occurs."""
+    return pattern_counts(_c(x), ENTITIES)

@@ -156,3 +156,76 @@ def search(records: DataFrame, intent: Intent, likeness: Column | None = None, n
     """Filter, rank, cards and statistics of one question."""
     kept = filtered(records, intent)
     return {"cards": cards(ranked(kept, intent, likeness, n)), "statistics": statistics(kept), "factors": factor_counts(kept), "report": report(kept), "filter": filter_counts(records, intent)}
+
+
+# Words of a question, in plain letters, that name a facet.
+_ASKED: dict[str, dict[str, str]] = {
+    "contract_type": {"dielo": r"diel[oae]|zhotovitel", "najom": r"naj(o|)m|prenaj", "kupna": r"kupn|predaj|kupuj", "uver": r"uver|pozick", "preprava": r"preprav|doprav", "dodavka_sluzieb": r"sluz(b|ieb)"},
+    "breach_type": {"late_payment": r"omeskan\w*\s+(s\s+)?(plat|uhrad|zaplat)|neskor\w*\s+(plat|uhrad)|nezaplat|neuhrad", "early_termination": r"predcasn|vypoved", "breach_of_confidentiality": r"mlcanliv|dovern", "non_monetary_performance": r"omeskan\w*\s+(s\s+)?(dodan|odovzd|diel|plnen)|nedodal|neodovzd"},
+    "decision": {"moderated_301": r"moderac|moderov|zniz", "dismissed": r"zamietn|zamietol", "awarded_full": r"v\s+plnej\s+vyske|priznan", "returned": r"vrat(en|il)"},
+    "factors": {"dobre_mravy": r"dobr\w*\s+mrav", "pomer_k_istine": r"pomer|istin|privysok|neprimeran", "vyska_skody": r"skod"},
+    "intent": {"safe_rate": r"bezpecn|sadzb|dohodnut", "defense_args": r"obran|argument|branit|namiet"},
+}
+
+
+def intents(questions: DataFrame, text: str = "question") -> DataFrame:
+    """``questions`` with ``intent`` and the facets that its words name: contract_type, breach_type, decision, factors, amount, semantic_query.
+
+    The offline stand-in for a model: of several facets the first of the list. A null or blank question, or one that names
+    nothing, asks for nothing in particular: all facets null, no factors, the question itself as what is searched.
+    """
+    from ..functions.text import plain, portable
+
+    t = plain(text)
+    first = lambda bank: F.coalesce(*[F.when(t.rlike(portable(p)), F.lit(n)) for n, p in bank.items()])
+    named = F.filter(F.array(*[F.when(t.rlike(portable(p)), F.lit(n)) for n, p in _ASKED["factors"].items()]), lambda n: n.isNotNull())
+    number = F.regexp_replace(F.regexp_extract(t, r"(\d[\d ]*)\s*(eur|€)", 1), " ", "").try_cast("double")
+    return questions.select(
+        "*", first(_ASKED["contract_type"]).alias("contract_type"), first(_ASKED["breach_type"]).alias("breach_type"), first(_ASKED["decision"]).alias("decision_interest"), named.alias("factor_interest"),
+        number.alias("amount_hint"), F.coalesce(first(_ASKED["intent"]), F.lit("general_precedent")).alias("intent"), F.coalesce(F.trim(text), F.lit("")).alias("semantic_query"),
+    )
+
+
+def search_all(records: DataFrame, asked: DataFrame, n: int = 5, near: DataFrame | None = None) -> DataFrame:
+    """(query_id, filter_type, n_filtered, rank, extraction_id, penalty_no, penalty_id, likeness, score): every question of a stated set against all records.
+
+    ``asked``: intents with ``query_id``, few, so broadcast. ``near``: (query_id, extraction_id, penalty_no, likeness); 0 without.
+    Records that do not suit a question's facets are left out, unless none does; ranks are group limits, so at most ``n`` rows
+    of a question leave a task.
+    """
+    kinds = F.create_map(*[F.lit(x) for k, v in SIMILAR_CONTRACTS.items() for x in (k, ",".join(v))]) if SIMILAR_CONTRACTS else F.create_map()
+    like = F.split(F.coalesce(kinds[F.col("q.contract_type")], F.lit("")), ",")
+    q, r = asked.alias("q"), records.alias("r")
+    suits = (F.col("q.contract_type").isNull() | (F.col("r.contract_type") == F.col("q.contract_type")) | F.array_contains(like, F.col("r.contract_type"))) & (F.col("q.breach_type").isNull() | (F.col("r.breach_type") == F.col("q.breach_type")))
+    both = r.crossJoin(F.broadcast(q)).withColumn("suits", suits)
+    counts = both.groupBy("query_id").agg(F.count(F.when(F.col("suits"), 1)).alias("n_suit"), F.count("*").alias("n_all"))
+    told = F.transform(F.filter("r.factors", lambda f: f["sentiment"].isNotNull() & (f["sentiment"] != "not_mentioned")), lambda f: f["label"])
+    most = F.when(F.col("q.decision_interest").isNotNull(), 2).otherwise(0) + F.size("q.factor_interest")
+    got = F.when(F.col("r.decision") == F.col("q.decision_interest"), 2).otherwise(0) + F.aggregate(F.transform("q.factor_interest", lambda x: F.coalesce(F.array_contains(told, x), F.lit(False)).cast("int")), F.lit(0), lambda a, x: a + x)
+    bonus = F.when(most == 0, 0.5).otherwise(got / most.cast("double"))
+    own, hint = F.coalesce("r.secured_principal", "r.original_claimed"), F.col("q.amount_hint")
+    amount = F.when(hint.isNull() | (hint <= 0) | own.isNull() | (own <= 0), 0.5).otherwise(F.least(own, hint) / F.greatest(own, hint))
+    part = both.select("query_id", "suits", "r.extraction_id", "r.penalty_no", "r.penalty_id", amount.alias("amount"), bonus.alias("bonus"), (F.coalesce(F.col("r.authority_level"), F.lit(1)) / 3).alias("authority"))
+    part = part.join(F.broadcast(counts), "query_id").where("suits OR n_suit = 0")
+    if near is not None:
+        part = part.join(near, ["query_id", "extraction_id", "penalty_no"], "left")
+    else:
+        part = part.withColumn("likeness", F.lit(0.0))
+    w = WEIGHTS
+    score = w[0] * F.coalesce("likeness", F.lit(0.0)) + w[1] * F.col("amount") + w[2] * F.col("bonus") + w[3] * F.col("authority")
+    scored = part.withColumn("score", F.round(score, 6)).withColumn("filter_type", F.when(F.col("n_suit") == 0, "none_fallback").otherwise("strict")).withColumn("n_filtered", F.when(F.col("n_suit") == 0, F.col("n_all")).otherwise(F.col("n_suit")))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "extraction_id", "penalty_no"))
+    best = scored.withColumn("rank", rank).where(F.col("rank") <= n)
+    return best.select("query_id", "filter_type", "n_filtered", "rank", "extraction_id", "penalty_no", "penalty_id", F.round(F.coalesce("likeness", F.lit(0.0)), 6).alias("likeness"), "score")
+
+
+def intent_summary(asked: DataFrame, found: DataFrame) -> DataFrame:
+    """(query_id, intent, filter_type, n_filtered, n_shown): one line per question; questions without any record have zeros."""
+    per = found.groupBy("query_id").agg(F.first("filter_type").alias("filter_type"), F.first("n_filtered").alias("n_filtered"), F.count("*").alias("n_shown"))
+    return asked.select("query_id", "intent").join(per, "query_id", "left").select("query_id", "intent", "filter_type", F.coalesce("n_filtered", F.lit(0)).alias("n_filtered"), F.coalesce("n_shown", F.lit(0)).alias("n_shown"))
+
+
+def gated_statistics(records: DataFrame, intent: Intent) -> DataFrame:
+    """``statistics`` of all records that suit the question, with a note where they are fewer than ``LEAST_RECORDS``."""
+    few = F.concat(F.lit("menej ako "), F.lit(str(LEAST_RECORDS)), F.lit(" zaznamov: "), F.col("n").cast("string"))
+    return statistics(filtered(records, intent)).withColumn("note", F.when(F.col("n") < LEAST_RECORDS, few))

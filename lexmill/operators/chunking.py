@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import WS, squash, strip, token_length
 
+# Separators in the order in which they are tried.
 SEPARATORS = (r"\n\n+", r"(?=\n\s*\d+\.\s+)", r"\n", r";\s+", r"\s+")
 INNER_SEPARATORS = (r"\n\n+", r"\n", r";\s+", r"\s+")
 #: tokens from which a paragraph is split again, and the overlap then

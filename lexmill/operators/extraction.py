@@ -6,11 +6,15 @@ replays stored responses by a join.
 
 from __future__ import annotations
 
+import json
+import os
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.catalog import FACTOR_LABELS
 from ..functions.text import WS, squash, tight_punctuation, tokens
@@ -73,6 +77,91 @@ def default_factors() -> Column:
     return F.array(*[F.struct(F.lit(n).alias("label"), F.lit("not_mentioned").alias("sentiment")) for n in FACTOR_LABELS])
 
 
+def stripped(json_text: Column | str, members: tuple[str, ...] = ("evidence", "chunk_id")) -> Column:
+    """A JSON text of any shape without the named members, at every depth; null for what does not parse."""
+    def bare(o: object) -> object:
+        if isinstance(o, dict):
+            return {k: bare(v) for k, v in o.items() if k not in members}
+        return [bare(x) for x in o] if isinstance(o, list) else o
+
+    def one(t: str | None) -> str | None:
+        try:
+            return None if t is None else json.dumps(bare(json.loads(t)), ensure_ascii=False)
+        except (ValueError, RecursionError):
+            return None
+
+    return F.pandas_udf(lambda s: s.map(one), "string")(F.col(json_text) if isinstance(json_text, str) else json_text)
+
+
+# Parts of the prompts of each call, by the places that they fill.
+TEMPLATES = {
+    "system": "Odpovedaj len platným JSON podľa schémy.", "call1": "HLAVIČKA\n{header}\n\nVÝROK\n{verdict}\n\nÚRYVKY\n{chunks}",
+    "call2": "ZISTENÉ\n{prefilled}\n\nVÝROK\n{verdict}\n\nÚRYVKY\n{chunks}", "fulldoc": "HLAVIČKA\n{header}\n\nVÝROK\n{verdict}\n\nODÔVODNENIE\n{reasoning}",
+}
+
+
+def templates(folder: str | None = None) -> dict[str, str]:
+    """The templates, those of a folder (``<name>.txt``) before the own ones; read once by the driver, as they are literals of the plan."""
+    if folder is None:
+        return dict(TEMPLATES)
+    own = {}
+    for name, text in TEMPLATES.items():
+        path = os.path.join(folder, f"{name}.txt")
+        own[name] = open(path, encoding="utf-8").read() if os.path.exists(path) else text  # noqa: SIM115
+    return own
+
+
+def prompts(docs: DataFrame, folder: str | None = None) -> DataFrame:
+    """(doc, system, call1, call2, fulldoc): the four prompts of each document. ``docs``: (doc, header, verdict, reasoning, call1_chunks, call2_chunks, facts); ``facts``: the first call's JSON, of which the second sees all but the evidence."""
+    t = templates(folder)
+    c = F.col
+    return docs.select(
+        "doc", F.lit(t["system"]).alias("system"), prompt(t["call1"], header=c("header"), verdict=c("verdict"), chunks=rendered("call1_chunks")).alias("call1"),
+        prompt(t["call2"], prefilled=stripped("facts"), verdict=c("verdict"), chunks=rendered("call2_chunks")).alias("call2"), prompt(t["fulldoc"], header=c("header"), verdict=c("verdict"), reasoning=c("reasoning")).alias("fulldoc"),
+    )
+
+
+def json_schema(kind: T.DataType, closed: bool = True) -> dict:
+    """The JSON schema of a table's type, the single source of both; ``closed``: objects allow no further members."""
+    if isinstance(kind, T.StructType):
+        out = {"type": "object", "properties": {f.name: json_schema(f.dataType, closed) for f in kind}, "required": [f.name for f in kind]}
+        return out | ({"additionalProperties": False} if closed else {})
+    if isinstance(kind, T.ArrayType):
+        return {"type": "array", "items": json_schema(kind.elementType, closed)}
+    names = {T.StringType: "string", T.BooleanType: "boolean", T.DoubleType: "number", T.FloatType: "number", T.DecimalType: "number"}
+    return {"type": names.get(type(kind), "integer" if isinstance(kind, T.IntegralType) else "string")}
+
+
+def without_additional(schema: object) -> object:
+    """A schema without ``additionalProperties``, at every depth."""
+    if isinstance(schema, dict):
+        return {k: without_additional(v) for k, v in schema.items() if k != "additionalProperties"}
+    return [without_additional(x) for x in schema] if isinstance(schema, list) else schema
+
+
+def retried(call: Callable[[str], str], times: int = 5, wait: Callable[[int, Exception | None], float | None] = lambda n, e: 30.0 * n, sleep: Callable[[float], None] = time.sleep) -> Callable[[str], str]:
+    """A model call that is tried up to ``times`` times. ``wait``: seconds before the next try after the n-th failed with an
+    exception, or with an empty answer (None); None gives up. The last failure is raised, or the empty answer returned.
+    """
+    def run(text: str) -> str:
+        for n in range(1, times + 1):
+            try:
+                out, error = call(text), None
+            except Exception as e:  # noqa: BLE001 - the policy decides which errors are tried again
+                out, error = "", e
+            if out:
+                return out
+            pause = wait(n, error) if n < times else None
+            if pause is None:
+                if error is not None:
+                    raise error
+                return out
+            sleep(pause)
+        return ""
+
+    return run
+
+
 _EVIDENCE = """inline(flatten(transform(filter(coalesce(result.contractual_penalties, array()), p -> p IS NOT NULL), (p, i) -> filter(concat(
  array(named_struct('penalty_no', i, 'field_path', 'breach_type', 'quote', p.breach_type.evidence.quote, 'chunk_id', p.breach_type.evidence.chunk_id),
   named_struct('penalty_no', i, 'field_path', 'rate_definition', 'quote', p.rate_definition.evidence.quote, 'chunk_id', p.rate_definition.evidence.chunk_id),
@@ -92,18 +181,40 @@ def evidence(extractions: DataFrame) -> DataFrame:
     return flat.dropDuplicates(["extraction_id", "penalty_no", "field_path"])
 
 
-def grounded(evidence: DataFrame, texts: DataFrame, least: float = 0.65) -> DataFrame:
+def _part_name(c: Column | str) -> Column:
+    """The name of a document's part: ``chunk_7`` for it and for a chunk id that ends so; header, verdict and full_doc stay."""
+    return F.regexp_replace(F.col(c) if isinstance(c, str) else c, r"^.*_(chunk_\d+)$", "$1")
+
+
+def lookup(chunks: DataFrame, processed: DataFrame) -> DataFrame:
+    """(source_file, part, text): the latest text of every chunk, header, verdict and whole reasoning, by the name that evidence gives it."""
+    c = chunks.where("page_content IS NOT NULL AND source_file IS NOT NULL").select("source_file", F.concat(F.lit("chunk_"), "chunk_index").alias("part"), F.col("page_content").alias("text"), "ingested_at")
+    parts = F.array(*[F.struct(F.lit(n).alias("part"), F.col(x).alias("text")) for n, x in (("header", "header"), ("verdict", "segments.verdict"), ("full_doc", "reasoning_full"))])
+    p = processed.where("filename IS NOT NULL").select(F.col("filename").alias("source_file"), "ingested_at", F.inline(parts)).where("text IS NOT NULL").select("source_file", "part", "text", "ingested_at")
+    return c.unionByName(p).groupBy("source_file", "part").agg(F.max_by("text", "ingested_at").alias("text"))
+
+
+def looked_up(evidence: DataFrame, parts: DataFrame) -> DataFrame:
+    """Evidence with the ``text`` of the part that it names, and ``flag`` CHUNK_NOT_FOUND where there is none."""
+    held = evidence.withColumn("part", _part_name("chunk_id")).join(parts, ["source_file", "part"], "left").drop("part")
+    return held.withColumn("flag", F.when(F.col("text").isNull(), "CHUNK_NOT_FOUND"))
+
+
+def grounded(evidence: DataFrame, texts: DataFrame, least: float = 0.65, lemmas: dict[str, str] | None = None) -> DataFrame:
     """Evidence with ``level``: exact, whitespace, case, words, fuzzy, truncated or not_found; the first that holds.
 
-    ``texts``: (source_file, text). The document is the equi key. The cheap levels are decided first;
-    the word windows run on what is left.
+    ``texts``: (source_file, part, text), see ``lookup``: the part that the evidence names is searched, and no other;
+    or (source_file, text), the whole document. Without a text the level is no_source. ``lemmas``: word to lemma, for the
+    level of words; words that it lacks stay as they are. The cheap levels are decided first; the word windows run on what is left.
     """
-    held = evidence.join(texts, "source_file", "left")
+    held = looked_up(evidence, texts).drop("flag") if "part" in texts.columns else evidence.join(texts, "source_file", "left")
+    of = F.create_map(*[F.lit(x) for kv in lemmas.items() for x in kv]) if lemmas else None
+    words = lambda x: F.concat(F.lit(" "), F.array_join(tokens(x, of), " "), F.lit(" "))
     q, t = F.col("quote"), F.coalesce("text", F.lit(""))
     flat = lambda x: tight_punctuation(squash(x))
     level = (
         F.when(F.col("text").isNull(), "no_source").when(F.contains(t, q), "exact").when(F.contains(flat(t), flat(q)), "whitespace").when(F.contains(F.lower(flat(t)), F.lower(flat(q))), "case")
-        .when(F.contains(F.concat(F.lit(" "), F.array_join(tokens(t), " "), F.lit(" ")), F.concat(F.lit(" "), F.array_join(tokens(q), " "), F.lit(" "))), "words")
+        .when(F.contains(words(t), words(q)), "words")
     )
     graded = held.withColumn("level", level)
     done = graded.where("level IS NOT NULL").withColumn("best", F.lit(None).cast("string"))

@@ -21,7 +21,7 @@ def _records(s: SparkSession, d: str) -> DataFrame:
 
 
 def _texts(s: SparkSession, d: str) -> DataFrame:
-    return read(s, d, "processed_json").groupBy(F.col("filename").alias("source_file")).agg(F.max("reasoning_full").alias("text"))
+    return read(s, d, "processed_json").groupBy(F.col("filename").alias("source_file")).agg(F.max_by("reasoning_full", "ingested_at").alias("text"))
 
 
 def j6_evidence(s: SparkSession, d: str) -> DataFrame:
@@ -29,7 +29,7 @@ def j6_evidence(s: SparkSession, d: str) -> DataFrame:
 
 
 def j8_grounding(s: SparkSession, d: str) -> DataFrame:
-    return X.grounded(X.evidence(read(s, d, "extractions")), _texts(s, d))
+    return X.grounded(X.evidence(read(s, d, "extractions")), X.lookup(read(s, d, "chunks"), read(s, d, "processed_json")))
 
 
 def j10_repaired(s: SparkSession, d: str) -> DataFrame:

@@ -112,6 +112,70 @@ def x20_case_match(s: SparkSession, d: str) -> DataFrame:
     return docs.join(files, "variant").groupBy("extraction_id").agg(F.min("filename").alias("filename"))
 
 
+def t16_numbers(s: SparkSession, d: str) -> DataFrame:
+    """Numbers out of free text: amounts as written, dockets, lengths."""
+    return read(s, d, "chunks").select("chunk_id", T.safe_number(F.regexp_extract("page_content", r"(\d+(?:\.\d+)?)", 1)).alias("first"), T.safe_number("case_id").alias("docket")).distinct()
+
+
+def t21_rounded(s: SparkSession, d: str) -> DataFrame:
+    """Halves go to the even neighbour."""
+    li = read(s, d, "lineitem")
+    return li.select("l_orderkey", "l_linenumber", T.rounded(F.col("l_quantity").cast("double") / 2).alias("half"), T.rounded(F.col("l_quantity").cast("double") / 4, 1).alias("quarter"))
+
+
+def x4_structure(s: SparkSession, d: str) -> DataFrame:
+    return read(s, d, "documents").select("doc_id", *T.structure_flags("text"))
+
+
+def x11_register(s: SparkSession, d: str) -> DataFrame:
+    return read(s, d, "documents").select("doc_id", T.is_trade_register("case_id").alias("in_register"))
+
+
+def x18_courts(s: SparkSession, d: str) -> DataFrame:
+    """Official names of the courts, of their codes as short names, and of short names as listed."""
+    names = read(s, d, "courts").select(F.col("court").alias("name")).unionByName(read(s, d, "courts").select(F.col("court_code").alias("name")))
+    return names.unionByName(s.createDataFrame([(n,) for n in T.COURT_NAMES], "name string")).distinct().select("name", T.official_court("name").alias("official"))
+
+
+def x20_court_match(s: SparkSession, d: str) -> DataFrame:
+    """Decisions whose docket holds the extraction's and whose court agrees; of several the first by name. The serial and year are equal, so they are the join's key and containment is tested within it."""
+    asked = read(s, d, "extractions").where("result.meta.case_number IS NOT NULL").select("extraction_id", T.docket_key("result.meta.case_number").alias("a"), F.col("result.meta.court_name").alias("asked"), _SERIAL("result.meta.case_number").alias("k")).distinct()
+    files = read(s, d, "processed_json").where("metadata.case_id IS NOT NULL").select("filename", T.docket_key("metadata.case_id").alias("f"), F.col("metadata.court").alias("found"), _SERIAL("metadata.case_id").alias("k")).distinct()
+    return asked.join(files, "k").where(F.contains("f", "a") & T.same_court(F.col("asked"), F.col("found"))).groupBy("extraction_id").agg(F.min("filename").alias("filename"))
+
+
+def x22_experiments(s: SparkSession, d: str) -> DataFrame:
+    """Parts of the names of the extractions' retrieval, with a cut-off and window put on."""
+    names = read(s, d, "extractions").where("extraction_config.retrieval_config.name IS NOT NULL").select(F.concat(F.col("extraction_config.retrieval_config.name"), F.lit("_w"), F.coalesce(F.col("extraction_config.retrieval_config.window_size"), F.lit(0)).cast("string")).alias("name"))
+    return names.distinct().select("name", T.experiment_parts("name").alias("x")).select("name", "x.*")
+
+
+def x23_entities(s: SparkSession, d: str) -> DataFrame:
+    return read(s, d, "documents").select("doc_id", *[c for n, c in zip(T.ENTITIES, T.entity_counts("text")) if n != "money"])
+
+
+def x23_money(s: SparkSession, d: str) -> DataFrame:
+    """Apart, as its look-arounds have no SQL."""
+    return read(s, d, "documents").select("doc_id", T.entity_counts("text")[0])
+
+
+def k5_budget(s: SparkSession, d: str) -> DataFrame:
+    """Reasonings cut to what a budget leaves beside header and verdict."""
+    p = read(s, d, "processed_json").select("filename", "header", "reasoning_full", F.col("segments.verdict").alias("verdict")).distinct()
+    return p.select("filename", T.token_length(T.truncated_tokens("reasoning_full", 600, "header", "verdict")).alias("n_kept"), T.truncated_tokens("reasoning_full", 600, "header", "verdict").alias("kept"))
+
+
+def t6_spaced(s: SparkSession, d: str) -> DataFrame:
+    """Lines that are printed letter by letter."""
+    lines = read(s, d, "pipeline_data").select("filename", F.explode(F.split(T.join_pages("raw_pages"), "\n")).alias("line")).distinct()
+    return lines.where(T.is_spaced_header("line")).select("filename", "line")
+
+
+def _SERIAL(c: str) -> F.Column:  # noqa: N802
+    """The digits of a docket number, which containment of one in the other leaves to be compared where they are equal."""
+    return F.regexp_replace(F.col(c), r"[^0-9]", "")
+
+
 def x21_chunk_number(s: SparkSession, d: str) -> DataFrame:
     return read(s, d, "chunks").select("chunk_id", T.chunk_number("chunk_id").alias("number")).distinct()
 
@@ -160,7 +224,7 @@ def c9_blocks(s: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     t1_clean_light, t2_pages_without_pagination, t4_header_and_body, t7_layout, t8_punctuation_and_space, t11_plain, t13_names_and_numbers, t18_cut, x1_header_meta, x2_segments, x5_features, x6_contract_kinds,
     x7_proximity, x8_in_context, x9_section, x10_commercial, x13_courts, x17_health, x19_variants, x20_case_match, x21_chunk_number, k1_tokens, k2_lengths, c1_recursive, c3_paragraphs, c4_parents, c5_children,
-    c7_report, c8_golden_only, c9_blocks,
+    c7_report, c8_golden_only, c9_blocks, t6_spaced, t16_numbers, t21_rounded, x4_structure, x11_register, x18_courts, x20_court_match, x22_experiments, x23_entities, x23_money, k5_budget,
 )}
 
 
@@ -246,4 +310,16 @@ SQL = {
     "c7_report": f"SELECT strategy, count(*) AS n_chunks, count(DISTINCT filename) AS n_docs, round(count(*) / count(DISTINCT filename), 6) AS per_doc FROM {_PARAS} GROUP BY strategy",
     "c8_golden_only": f"SELECT filename, count(*) AS n_chunks, sum(token_len) AS n_tokens FROM {_PARAS} WHERE filename IN (SELECT document_name FROM golden_dataset_template) GROUP BY filename",
     "c9_blocks": f"SELECT doc_id, count(*) AS n_blocks, max(n) AS longest, round(quantile_cont(n, 0.95), 6) AS p95 FROM (SELECT doc_id, length({sql_squash('b')}) AS n FROM (SELECT doc_id, unnest(string_split_regex(coalesce(text, ''), '\\n{WS}*\\n')) AS b FROM documents)) WHERE n > 0 GROUP BY doc_id",
+    "t6_spaced": f"SELECT DISTINCT filename, line FROM (SELECT filename, unnest(string_split(text, chr(10))) AS line FROM {_FILES}) WHERE length(trim(regexp_replace(line, '[.:]+$', ''))) >= 5 AND regexp_matches(trim(regexp_replace(line, '[.:]+$', '')), '^{WS}*(?:[a-zA-ZÁ-Žá-ž]{WS}+){{3,}}[a-zA-ZÁ-Žá-ž]{WS}*$')",
+    "t16_numbers": "SELECT DISTINCT chunk_id, try_cast(nullif(regexp_extract(page_content, '([0-9]+(?:\\.[0-9]+)?)', 1), '') AS DOUBLE) AS first, try_cast(case_id AS DOUBLE) AS docket FROM chunks",
+    "t21_rounded": "SELECT l_orderkey, l_linenumber, round_even(l_quantity::DOUBLE / 2, 0) AS half, round_even(l_quantity::DOUBLE / 4, 1) AS quarter FROM lineitem",
+    "x4_structure": "SELECT doc_id, " + ", ".join(f"CAST(regexp_matches(t, {re2(p)}) AS INTEGER) AS {n}" for n, p in T.STRUCTURE.items()) + f" FROM (SELECT doc_id, {sql_plain('text')} AS t FROM documents)",
+    "x11_register": "SELECT doc_id, len(list_filter([" + ", ".join(map(q, T.TRADE)) + "], lambda m: contains(lower(coalesce(case_id, '')), m))) > 0 AS in_register FROM documents",
+    "x18_courts": "WITH n AS (SELECT court AS name FROM courts UNION SELECT court_code FROM courts UNION SELECT * FROM (VALUES " + ", ".join(f"({q(n)})" for n in T.COURT_NAMES) + ")), m(name, official) AS (VALUES " + ", ".join(f"({q(a)}, {q(b)})" for a, b in T.COURT_NAMES.items()) + ") SELECT n.name AS name, coalesce(m.official, n.name) AS official FROM n LEFT JOIN m ON m.name = n.name",
+    "x20_court_match": """WITH a AS (SELECT DISTINCT extraction_id, lower(replace(replace(result.meta.case_number, ' ', ''), '/', '')) AS a, coalesce(result.meta.court_name, '') AS asked, regexp_replace(result.meta.case_number, '[^0-9]', '', 'g') AS k FROM extractions WHERE result.meta.case_number IS NOT NULL),
+      f AS (SELECT DISTINCT filename, lower(replace(replace(metadata.case_id, ' ', ''), '/', '')) AS f, lower(coalesce(metadata.court, '')) AS found, regexp_replace(metadata.case_id, '[^0-9]', '', 'g') AS k FROM processed_json WHERE metadata.case_id IS NOT NULL)
+      SELECT extraction_id, min(filename) AS filename FROM a JOIN f ON a.k = f.k WHERE contains(f, a) AND ((contains(lower(asked), 'najvyšší') AND contains(found, 'najvyšší')) OR contains(found, lower(replace(asked, 'Krajský súd ', '')))) GROUP BY extraction_id""",
+    "x22_experiments": "SELECT DISTINCT name, regexp_replace(regexp_replace(name, '_top[0-9]+_w[0-9]+$', ''), '_fk[0-9]+_c1p[0-9]+_c2p[0-9]+$', '') AS family, try_cast(nullif(regexp_extract(name, 'top([0-9]+)', 1), '') AS INTEGER) AS k, try_cast(nullif(regexp_extract(name, 'w([0-9]+)', 1), '') AS INTEGER) AS \"window\" FROM (SELECT extraction_config.retrieval_config.name || '_w' || coalesce(extraction_config.retrieval_config.window_size, 0) AS name FROM extractions) WHERE name IS NOT NULL",
+    "x23_entities": "SELECT doc_id, " + ", ".join(f"len(regexp_extract_all(coalesce(text, ''), {re2(p)})) AS {n}" for n, p in T.ENTITIES.items() if n != "money") + " FROM documents",
+    "k5_budget": f"SELECT DISTINCT filename, {sql_token_length('kept')} AS n_kept, kept FROM (SELECT filename, array_to_string(string_split({sql_squash('reasoning_full')}, ' ')[1:greatest(600 - {sql_token_length('header')} - {sql_token_length('segments.verdict')}, 0)], ' ') AS kept FROM processed_json)",
 }
