@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def binary_files(spark: SparkSession, folder: str, glob: str = "*.pdf") -> DataFrame:
@@ -104,8 +106,93 @@ def id_range(spark: SparkSession, start: int, stop: int) -> DataFrame:
 
 
 def exists(spark: SparkSession, path: str) -> int:
-    """Rows of a stored table, 0 if there is none."""
+    """Rows of a stored table, 0 if there is none or it holds no file; a file that cannot be read is an error. The footers are read, no column is."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return 0
     try:
         return spark.read.parquet(path).count()
-    except Exception:  # noqa: BLE001 - a missing or unreadable store counts as empty
-        return 0
+    except AnalysisException as e:
+        if e.getCondition() == "UNABLE_TO_INFER_SCHEMA":
+            return 0
+        raise
+
+
+def scan_partition(spark: SparkSession, path: str, by: str, value: str) -> DataFrame:
+    """One partition of a table written by ``write_partitioned``; the others are not read."""
+    return spark.read.parquet(path).where(F.col(by) == value)
+
+
+def write_json_lines(df: DataFrame, path: str) -> None:
+    """One JSON object per line; nulls are written, so that readers see every member."""
+    df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
+def write_documents(df: DataFrame, path: str) -> None:
+    """One JSON file per row, each document naming itself; UTF-8, letters as they are, nulls written. Where one file for each is not asked, ``write_json_lines`` writes far fewer."""
+    df.write.mode("overwrite").option("ignoreNullFields", False).option("maxRecordsPerFile", 1).json(path)
+
+
+def write_delimited(df: DataFrame, path: str, sep: str = ";") -> None:
+    """A table with a header line; every cell is quoted, quotes are doubled, line ends stay."""
+    df.write.mode("overwrite").option("sep", sep).option("header", True).option("quoteAll", True).option("quote", '"').option("escape", '"').csv(path)
+
+
+def write_summary(df: DataFrame, path: str) -> None:
+    """A small table as one JSON file."""
+    df.coalesce(1).write.mode("overwrite").json(path)
+
+
+def write_vectors(df: DataFrame, path: str) -> None:
+    """Records with their vectors as one table, so that none can lose the other."""
+    df.write.mode("overwrite").parquet(path)
+
+
+def opened(spark: SparkSession, root: str, model: str, strategy: str, schema: T.StructType) -> DataFrame:
+    """The store of a model and strategy; it is made, empty, when it is not there."""
+    path = f"{root}/model={model}/strategy={strategy}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        spark.createDataFrame([], schema).write.mode("ignore").parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def added(df: DataFrame, root: str, model: str, strategy: str) -> None:
+    """Rows added to a store."""
+    df.write.mode("append").parquet(f"{root}/model={model}/strategy={strategy}")
+
+
+def got(store: DataFrame, where: dict[str, object], columns: list[str]) -> DataFrame:
+    """Rows whose columns have the given values (null for null), of which only the named columns are read."""
+    for c, v in where.items():
+        store = store.where(F.col(c).isNull() if v is None else F.col(c) == v)
+    return store.select(*columns)
+
+
+def by_id(store: DataFrame, key: str, ids: list) -> DataFrame:
+    """Rows of a few ids, as a filter that reaches the scan; unknown ids have no rows."""
+    return store.where(F.col(key).isin(ids))
+
+
+def probed(ids: DataFrame, store: DataFrame, key: str) -> DataFrame:
+    """Every id with the row that the store has for it, and whether it has one."""
+    return ids.join(store, ids["id"] == store[key], "left").withColumn("found", F.col(key).isNotNull())
+
+
+def paged(spark: SparkSession, fetch: Callable[[int, int], list[tuple]], total: int, size: int, schema: str) -> DataFrame:
+    """All rows of a source that hands out pages: ``fetch(page, size)`` is called by the tasks, once for each page up to ``total`` rows; an empty page gives none."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [f.strip().split()[0] for f in schema.split(",")]
+        for b in batches:
+            for page in b["id"]:
+                yield pd.DataFrame(fetch(int(page), size), columns=names)
+
+    pages_ = -(-total // size) if total else 0
+    return spark.range(0, pages_, 1, max(1, min(pages_, 200))).mapInPandas(run, schema)
+
+
+def fields_at(cells: DataFrame, places: dict[str, tuple[int, int]]) -> DataFrame:
+    """(sheet, fields...): the values at fixed places of each sheet; null where a cell is missing. ``cells``: (sheet, row, col, value)."""
+    at = lambda p: (F.col("row") == p[0]) & (F.col("col") == p[1])
+    return cells.groupBy("sheet").agg(*[F.first(F.when(at(p), F.col("value")), True).alias(n) for n, p in places.items()])
