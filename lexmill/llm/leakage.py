@@ -4,7 +4,7 @@ Both sides are folded (look-alikes, case, accents, line-end division) and cut in
 names and units become typed placeholders, so that a window of ``n_words`` has a template and slots.
 The items' windows - a stated query set - are counted and broadcast; a document emits only windows
 whose words all occur in the items (lossless), joined by the hash of the template. Slots then tell
-verbatim windows (same slots) from re-parameterised ones (other slots, one consistent renaming).
+verbatim windows (same slots) from re-parameterised occurrences (other slots, one renaming in both directions).
 
 Names and units are typed by what the items show, whatever the case on the other side: a name is a
 word that the items write with a capital inside sentences only; a unit is a word that follows a
@@ -124,18 +124,18 @@ def _windows_of(df: DataFrame, key: str, text: str, typing: Typing, n: int) -> D
 
 
 def matches(docs: DataFrame, items: DataFrame, n_words: int = N_WORDS, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, item_id, place, verbatim, slots_doc, slots_item) of template windows found on both sides.
+    """(doc_id, item_id, place, item_place, verbatim, slots_doc, slots_item) of template windows found on both sides; places count words.
 
     ``items`` is the stated query set, read by the driver for its vocabulary; its windows are broadcast, as many as its words.
     """
     passages = [r["passage"] for r in items.where("passage IS NOT NULL").select("passage").collect()]
     typing = Typing(passages)
     wanted = _windows_of(items, "item_id", "passage", typing, n_words).select(
-        F.col("k").alias("item_id"), "thash", F.col("whash").alias("item_whash"), F.col("slots").alias("slots_item")
+        F.col("k").alias("item_id"), "thash", F.col("whash").alias("item_whash"), F.col("slots").alias("slots_item"), F.col("item_at").alias("item_place")
     )
     held = _windows_of(docs, doc, text, typing, n_words)
     joined = held.join(F.broadcast(wanted) if sum(map(len, passages)) < 50_000_000 else wanted, "thash")
-    return joined.select(F.col("k").alias("doc_id"), "item_id", F.col("item_at").alias("place"), (F.col("whash") == F.col("item_whash")).alias("verbatim"), F.col("slots").alias("slots_doc"), "slots_item")
+    return joined.select(F.col("k").alias("doc_id"), "item_id", F.col("item_at").alias("place"), "item_place", (F.col("whash") == F.col("item_whash")).alias("verbatim"), F.col("slots").alias("slots_doc"), "slots_item")
 
 
 def leaks(docs: DataFrame, items: DataFrame, **kw) -> DataFrame:
@@ -143,11 +143,24 @@ def leaks(docs: DataFrame, items: DataFrame, **kw) -> DataFrame:
     return matches(docs, items, **kw).where("verbatim").select("doc_id", "item_id").distinct()
 
 
-def reparameterised(docs: DataFrame, items: DataFrame, least: int = 6, **kw) -> DataFrame:
-    """(doc_id, item_id, n_windows): items found with other slot values, each item value renamed in one way, in at least ``least`` windows."""
-    m = matches(docs, items, **kw)
-    slots = m.withColumn("pair", F.explode(F.arrays_zip("slots_item", "slots_doc")))
-    ways = slots.groupBy("doc_id", "item_id", F.col("pair.slots_item").alias("value")).agg(F.countDistinct("pair.slots_doc").alias("ways"))
-    steady = ways.groupBy("doc_id", "item_id").agg(F.max("ways").alias("ways")).where("ways = 1").select("doc_id", "item_id")
-    totals = m.groupBy("doc_id", "item_id").agg(F.countDistinct("place").alias("n_windows"), F.max(F.col("verbatim").cast("int")).alias("any_verbatim"))
-    return totals.where((F.col("any_verbatim") == 0) & (F.col("n_windows") >= least)).join(steady, ["doc_id", "item_id"]).select("doc_id", "item_id", "n_windows")
+def reparameterised(docs: DataFrame, items: DataFrame, least: int = 1, literal: int = 6, **kw) -> DataFrame:
+    """(doc_id, item_id, n_windows): items that stand in a document with other slot values.
+
+    Windows that lie alike in document and item (place less item place) are one occurrence, so a document may hold an item
+    several times, with other values each time or as it is. An occurrence counts if each item value has one value in it and
+    each of its values one item value, at least one differs, ``least`` windows belong to it and one of them has at least
+    ``literal`` words that are no slots, as windows of placeholders alone meet by chance. ``n_windows`` is that of the
+    largest occurrence. Windows without slots belong to an occurrence but tell nothing.
+    """
+    n = kw.get("n_words", N_WORDS)
+    m = matches(docs, items, **kw).withColumn("shift", F.col("place") - F.col("item_place"))
+    of = ["doc_id", "item_id", "shift"]
+    pair = F.explode_outer(F.arrays_zip("slots_item", "slots_doc"))
+    pairs = m.select(*of, "place", F.size("slots_item").alias("slots"), pair.alias("pair"))
+    pairs = pairs.select(*of, "place", "slots", F.col("pair.slots_item").alias("a"), F.col("pair.slots_doc").alias("b"))
+    # values are few in an occurrence (at most the item's words), so it is settled on one row
+    seen = pairs.groupBy(*of).agg(F.collect_set(F.when(F.col("a").isNotNull(), F.struct("a", "b"))).alias("ways"), F.countDistinct("place").alias("n_windows"), F.min("slots").alias("fewest"))
+    distinct = lambda c: F.size(F.array_distinct(F.transform("ways", lambda w: w[c])))
+    steady = (distinct("a") == F.size("ways")) & (distinct("b") == F.size("ways")) & F.exists("ways", lambda w: w["a"] != w["b"])
+    good = seen.where(steady & (F.col("n_windows") >= least) & (F.lit(n) - F.col("fewest") >= literal))
+    return good.groupBy("doc_id", "item_id").agg(F.max("n_windows").alias("n_windows"))

@@ -1,7 +1,9 @@
 """Visually identical text in one form: a skeleton by decomposing, replacing look-alikes, decomposing again.
 
-``skeleton`` decides whether two texts look the same; composed again it is also the one readable form. Differences a reader sees - an accent, a digit, a capital - are kept: only
-characters outside ASCII are replaced, and never one ASCII character by another.
+``skeleton`` decides whether two texts look the same; it is for comparing alone. ``one_form`` is for reading: a function of
+the skeleton, so equal for equal-looking texts, in which words of another script get that script's letters back. Differences
+a reader sees - an accent, a digit, a capital - are kept: only characters outside ASCII are replaced, and never one ASCII
+character by another.
 
 Edge cases: null stays null, the empty text empty; order and kind of combining marks are canonical;
 white space of every kind but the line feed is a blank, invisible characters vanish; blanks at the
@@ -23,7 +25,10 @@ from ..common import checkpointed
 LOOKALIKES = {
     "cyrillic": ("аеорсухіјѕԁһԛԝьѵАВЕКМНОРСТУХІЈЅԌԚԜ", "aeopcyxijsdhqwbvABEKMHOPCTYXIJSGQW"),
     "greek": ("οανικρυΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "oavikpuABEZHIKMNOPTYX"),
-    "armenian": ("օսհոզ", "ouhnq"),
+    "armenian": ("օսհոզՍՕԼ", "ouhnqUOL"),
+    "cherokee": ("ᎠᎡᎢᎪᎫᎬᎳᎷᎻᏀᏃᏏᏒᏔᏙᏚᏞᏟᏢᏦᏴᎩ", "DRTAJEWMHGZbRWVSLCPKBY"),
+    "coptic": ("ⲞⲟⲤⲥⲢⲣⲘⲚⲔⲎⲦⲬ", "OoCcPpMNKHTX"),
+    "lisu": ("ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU"),
     "latin": ("ɑɡıſꞌ", "agif'"),
     "marks": ("‐‑‒﹣－ʼ′＇", "----'''" + "'"),
 }
@@ -84,9 +89,42 @@ def skeleton(text: str | None) -> str | None:
     return t.strip()
 
 
+#: scripts whose letters a skeleton may have lost, the letters that only they have, and what their look-alikes are called back to
+_SCRIPTS = {"cyrillic": "Ѐ-ԯ", "greek": "Ͱ-Ͽἀ-῾", "armenian": "԰-֏", "cherokee": "Ꭰ-Ᏽꭰ-ꮿ", "coptic": "Ⲁ-⳿", "lisu": "ꓐ-꓿"}
+_OWN = {n: re.compile(f"[{r}]") for n, r in _SCRIPTS.items()}
+_BACK = {n: {ord(b): a for a, b in reversed([*zip(*LOOKALIKES[n])])} for n in _SCRIPTS}
+_LETTERS = re.compile(r"(?:[^\W\d_][\u0300-\u036f]*)+")
+
+
 def one_form(text: str | None) -> str | None:
-    """The form in which equal-looking texts are equal, composed for reading."""
-    return skeleton(text)
+    """The form in which equal-looking texts are equal, for reading.
+
+    A word of the skeleton that holds letters of one other script alone is written in that script throughout. A word of
+    Latin letters that all look like letters of the script is too, where the script has more letters of its own in the
+    text than Latin has letters that the script lacks.
+    """
+    t = skeleton(text)
+    if not t or t.isascii():
+        return t
+    main = [n for n, own in _OWN.items() if own.search(t)]
+    if not main:
+        return t
+    t = unicodedata.normalize("NFD", t)
+    counts = {n: len(_OWN[n].findall(t)) for n in main}
+    best = max(main, key=lambda n: counts[n])
+    latin = sum(1 for c in t if c.isalpha() and c.isascii() and ord(c) not in _BACK[best])
+
+    def word(m: re.Match) -> str:
+        w = m[0]
+        of = [n for n in main if _OWN[n].search(w)]
+        if len(of) == 1:
+            return w.translate(_BACK[of[0]])
+        bare = [c for c in w if c.isalpha()]
+        if not of and counts[best] > latin and all(ord(c) in _BACK[best] for c in bare):
+            return w.translate(_BACK[best])
+        return w
+
+    return unicodedata.normalize("NFC", _LETTERS.sub(word, t))
 
 
 def skeleton_col(text: F.Column | str) -> F.Column:
@@ -112,18 +150,33 @@ def classes(df: DataFrame, key: str, text: F.Column) -> DataFrame:
     return skel.select("key", _digests(F.col("_look"), F.col("_text")).alias("d")).select("key", "d.*").distinct()
 
 
+#: keys of one look that one task pairs with all keys of that look
+SALTED = 2_000
+
+
 def same_look_pairs(df: DataFrame, key: str, text: F.Column) -> DataFrame:
     """(key_a, key_b), key_a < key_b: keys whose texts look the same but differ in characters.
 
     Skeletons with one stored form are dropped before the join, so a large group of exact copies
-    costs one row per copy and no comparison; what is joined are different stored forms of one look.
+    costs one row per copy and no comparison; what is joined are different stored forms of one look. The keys of a
+    large look are spread over salts of about ``SALTED`` keys, each of which meets all keys of the look. The rows are
+    all pairs, as asked; where they are too many, ``form_pairs`` and ``groups`` say the same in rows that grow with the keys.
     """
     each = checkpointed(classes(df, key, text))
-    forms = each.groupBy("look", "look2").agg(F.min("chars").alias("a"), F.max("chars").alias("b")).where("a <> b").select("look", "look2")
-    mixed = each.join(forms, ["look", "look2"], "left_semi")
-    a = mixed.select("look", "look2", F.col("key").alias("key_a"), F.col("chars").alias("chars_a"))
-    b = mixed.select("look", "look2", F.col("key").alias("key_b"), F.col("chars").alias("chars_b"))
-    return a.join(b, ["look", "look2"]).where("chars_a <> chars_b AND key_a < key_b").select("key_a", "key_b").distinct()
+    forms = each.groupBy("look", "look2").agg(F.min("chars").alias("a"), F.max("chars").alias("b"), F.count("*").alias("n")).where("a <> b")
+    salts = F.ceil(F.col("n") / SALTED).cast("int")
+    mixed = each.join(forms.select("look", "look2", salts.alias("salts")), ["look", "look2"])
+    a = mixed.select("look", "look2", F.pmod(F.xxhash64("key"), F.col("salts")).cast("int").alias("salt"), F.col("key").alias("key_a"), F.col("chars").alias("chars_a"))
+    b = mixed.select("look", "look2", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("key").alias("key_b"), F.col("chars").alias("chars_b"))
+    return a.join(b, ["look", "look2", "salt"]).where("chars_a <> chars_b AND key_a < key_b").select("key_a", "key_b").distinct()
+
+
+def form_pairs(df: DataFrame, key: str, text: F.Column) -> DataFrame:
+    """(group_id, form_a, form_b, n_a, n_b): each stored form of a look, by its smallest key, against the look's first form. Other forms of a look are linked through that one."""
+    each = checkpointed(classes(df, key, text))
+    forms = each.groupBy("look", "look2", "chars").agg(F.min("key").alias("form"), F.count("*").alias("n"))
+    first = forms.groupBy("look", "look2").agg(F.min(F.struct("form", "chars", "n")).alias("f"))
+    return forms.join(first, ["look", "look2"]).where("chars <> f.chars").select(F.col("f.form").alias("group_id"), F.col("f.form").alias("form_a"), F.col("form").alias("form_b"), F.col("f.n").alias("n_a"), F.col("n").alias("n_b"))
 
 
 def groups(df: DataFrame, key: str, text: F.Column) -> DataFrame:

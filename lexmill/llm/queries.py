@@ -37,6 +37,17 @@ def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.groups(read(spark, sf_dir, "chunks"), "chunk_id", F.col("page_content"))
 
 
+def p5_form_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalike.form_pairs(read(spark, sf_dir, "chunks"), "chunk_id", F.col("page_content"))
+
+
+def p5_one_form(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts of both fields in their one form, each key once per form."""
+    chunks = lookalike.with_one_form(read(spark, sf_dir, "chunks").select(F.lit("page_content").alias("field_name"), F.col("chunk_id").alias("key"), F.col("page_content").alias("text")), "text")
+    pages = lookalike.with_one_form(read(spark, sf_dir, "pipeline_data").select(F.lit("raw_pages").alias("field_name"), F.col("filename").alias("key"), F.array_join("raw_pages", "\n", "").alias("text")), "text")
+    return chunks.unionByName(pages).where("key IS NOT NULL AND one_form IS NOT NULL").select("field_name", "key", "one_form").distinct()
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "eval_items"))
 
@@ -50,7 +61,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p3_found, p3_heavy_lines, p3_clean_headers, p5_found, p5_groups, p9_found, p9_reparameterised, p10_found)
+    f.__name__: f for f in (p3_found, p3_heavy_lines, p3_clean_headers, p5_found, p5_groups, p5_form_pairs, p5_one_form, p9_found, p9_reparameterised, p10_found)
 }
 
 _LINES = """WITH l AS (SELECT court, filename, x.i - 1 AS line_no, x.line AS line FROM (
@@ -97,6 +108,15 @@ def p7_token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_budget.updated(None, change)
 
 
+def p7_token_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signed deltas that bring the slices of the older half of the time span to those of the whole tables; contents of the older half are not encoded again."""
+    rows = _units(spark, sf_dir)
+    span = rows.agg(F.min("at").cast("double").alias("a"), F.max("at").cast("double").alias("b")).first()
+    half = F.timestamp_seconds(F.lit(((span["a"] or 0.0) + (span["b"] or 0.0)) / 2))
+    before, _ = token_budget.State().update(rows.where(F.col("at") < half))
+    return before.update(rows)[1]
+
+
 def p7_token_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_budget.cube(p7_token_totals(spark, sf_dir))
 
@@ -110,8 +130,34 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _placed(spark, sf_dir)
 
 
+def _instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions as instruction data: verdict and instruction are given, the reasoning bears the loss; the latest delivery of each."""
+    given = F.concat_ws("\n", "segments.verdict", "segments.instruction")
+    sized = read(spark, sf_dir, "processed_json").select("filename", "ingested_at", token_budget.token_count(given).alias("given"), token_budget.token_count("reasoning_full").alias("loss"))
+    once = sized.groupBy("filename").agg(F.max(F.struct("ingested_at", "given", "loss")).alias("x"))
+    return once.select("filename", (F.col("x.given") + F.col("x.loss")).alias("n_tokens"), F.col("x.loss").alias("loss"))
+
+
+#: tokens of capacity per segment, and share of the capacity that may bear loss, for instruction data
+INSTRUCTION = {"tokens_a_segment": 160.0, "loss_share": 0.8}
+
+
+def p8_instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.placed(checkpointed(_instructions(spark, sf_dir)), read(spark, sf_dir, "containers"), key="filename", loss="loss", **INSTRUCTION)
+
+
+def p8_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of both placements is not as it should be, by kind of container."""
+    kinds = read(spark, sf_dir, "containers")
+    docs = checkpointed(read(spark, sf_dir, "documents").select("doc_id", token_budget.token_count("text").alias("n_tokens")))
+    told = checkpointed(_instructions(spark, sf_dir))
+    a = packing.audit(checkpointed(packing.placed(docs, kinds)), docs, kinds)
+    b = packing.audit(checkpointed(packing.placed(told, kinds, key="filename", loss="loss", **INSTRUCTION)), told, kinds, key="filename", **INSTRUCTION)
+    return a.withColumn("data", F.lit("documents")).unionByName(b.withColumn("data", F.lit("instructions")))
+
+
 def p8_utilisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.utilisation(_placed(spark, sf_dir), read(spark, sf_dir, "containers"))
 
 
-QUERIES |= {f.__name__: f for f in (p7_token_totals, p7_token_cube, p8_containers, p8_utilisation)}
+QUERIES |= {f.__name__: f for f in (p7_token_totals, p7_token_updates, p7_token_cube, p8_containers, p8_instructions, p8_audit, p8_utilisation)}

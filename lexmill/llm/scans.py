@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..common import checkpointed, small_side
-from .lookalike import replaced
+from .lookalike import one_form, replaced
 
 #: share of all tokens from which a word is sent to every worker
 FREQUENT = 1e-5
@@ -575,7 +575,7 @@ def reflow(pages: list | np.ndarray | None, marks: list, filename: str, court: s
             glue = (p.no, i) in cut
     if text:
         done()
-    return out
+    return [one_form(t) for t in out]
 
 
 def _corrected(text: str, right: dict[str, str]) -> str:

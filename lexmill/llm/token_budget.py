@@ -10,7 +10,8 @@ delivered twice within an Arrow batch is encoded once, and one in two batches gi
 
 Edge cases: null or empty texts have no tokens but count as documents; null keys are slices of
 their own; a document delivered again is taken in its latest form; languages are reduced to the
-lower-case code before a hyphen; very long texts are encoded in pieces cut at white space runs.
+lower-case code before a hyphen; very long texts are encoded in pieces cut between a letter and a blank that a letter
+follows, where the tokenizer's pattern always cuts, and whole where there is no such place.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..common import checkpointed
+
 #: where the vocabulary files of public tokenizers are
 TOKENIZERS = os.environ.get("LEXMILL_TOKENIZERS", "/opt/tokenizers")
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
@@ -136,6 +139,24 @@ def updated(base: DataFrame | None, change: DataFrame) -> DataFrame:
     return both.groupBy(*SLICE).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs <> 0")
 
 
+class State:
+    """What is kept between updates: counts by content and tokenizer, the documents with their slices, the finest level of the cube."""
+
+    def __init__(self, counts: DataFrame | None = None, docs: DataFrame | None = None, base: DataFrame | None = None) -> None:
+        self.counts, self.docs, self.base = counts, docs, base
+
+    def update(self, rows: DataFrame, path: str | None = None) -> tuple[State, DataFrame]:
+        """(the state after all of ``rows``, the signed deltas). ``rows``: all units as they are now; documents that are no longer among them leave their slices.
+
+        Only contents without a count are encoded. Each part is cut from its lineage, as it would be by writing it down.
+        """
+        docs = checkpointed(documents(rows))
+        fresh = new_counts(rows, self.counts, path)
+        counts = checkpointed(fresh if self.counts is None else self.counts.unionByName(fresh))
+        change = checkpointed(deltas(self.docs, docs, counts))
+        return State(counts, docs, updated(self.base, change)), change
+
+
 def cube(base: DataFrame) -> DataFrame:
     """Totals by every combination of source, language and domain. ``level`` is the grouping id: a bit set for each key summed over."""
     out = base.cube("kind", "source", "lang", "domain").agg(F.grouping_id().cast("int").alias("level"), F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
