@@ -23,7 +23,7 @@ import re
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..common import checkpointed, small_side
@@ -190,57 +190,80 @@ def aliases(files: DataFrame, registry: DataFrame) -> tuple[DataFrame, DataFrame
     return flat, table
 
 
-def changes_of(rows: list, reg: list) -> list[tuple[str, str]]:
-    """(change, field_path) of one file. ``rows``: its nodes with names (path) and registered names (std)."""
-    agreed = {r["field_path"]: r for r in reg}
-    have: dict[str, list] = {}
-    for r in rows:
-        own, std = list(r["path"]), list(r["std"])
-        have.setdefault(".".join(std[:-1]), []).append((own[-1], std[-1], r["raw_type"]))
-    out: list[tuple[str, str]] = []
-
-    def visit(at: str) -> None:
-        here = have.get(at, [])
-        literal = {own for own, _, _ in here}
-        taken: dict[str, tuple] = {}
-        for own, std, kind in sorted(here, key=lambda x: (x[0] != x[1], x[0])):
-            path = f"{at}.{std}" if at else std
-            if path in agreed and std not in taken and (own == std or std not in literal):
-                taken[std] = (own, kind)
-            elif (f"{at}.{own}" if at else own) not in agreed:
-                out.append(("added", f"{at}.{own}" if at else own))
-        for path, r in agreed.items():
-            parent, _, name = path.rpartition(".")
-            if parent != at:
-                continue
-            if name not in taken:
-                if r["is_required"]:
-                    out.append(("removed", path))
-                continue
-            own, kind = taken[name]
-            if own != name:
-                out.append(("renamed", path))
-            if not valid(kind, r["json_type"]):
-                out.append(("retyped", path))
-            elif kind == "object":
-                visit(path)
-
-    visit("")
+def _agreed(registry: DataFrame) -> list[tuple[str, str, bool]]:
+    """(field_path, json_type, is_required): the agreed schema, one row per column of the result, read by the driver as such."""
+    rows = registry.select("field_path", "json_type", "is_required").distinct().orderBy("field_path").collect()
+    return [(r["field_path"], r["json_type"], bool(r["is_required"])) for r in rows]
+
+
+def _valid(kind: Column, registered: str) -> Column:
+    """``valid`` as a column, for one registered type."""
+    out = kind.isin("null", registered, *(["int"] if registered == "double" else []))
+    if registered.startswith("array<"):
+        want = [registered[6:-1], *(["int"] if registered == "array<double>" else [])]
+        inner = F.regexp_extract(kind, "^array<(.*)>$", 1)
+        out = out | (kind == "array<>") | (kind.startswith("array<") & F.forall(F.split(inner, r"\|"), lambda x: x.isin(*want)))
     return out
 
 
-def changes(files: DataFrame, registry: DataFrame) -> DataFrame:
-    """(file_id, change, field_path): every change of a file against the registry, topmost paths only."""
+def projected(files: DataFrame, registry: DataFrame) -> tuple[DataFrame, list[tuple[str, str, bool]]]:
+    """(one row per file: file_id, at, foreign; the agreed schema). The path-value map of each file under registered paths.
+
+    ``at``: by registered path the name, raw type and value of the member that stands there, its own name before an alias;
+    ``foreign``: (parent, name) of members that are not registered and stand for nothing.
+    """
+    agreed = _agreed(registry)
+    paths = F.array(*[F.lit(p) for p, _, _ in agreed]) if agreed else F.array().cast("array<string>")
     flat, _ = aliases(files, registry)
-    ids = files.select("file_id").distinct()
-    per_file = flat.groupBy("file_id").agg(F.collect_list(F.struct("path", "std", "raw_type")).alias("rows"))
-    reg = registry.select("field_path", "json_type", "is_required").agg(F.collect_list(F.struct("field_path", "json_type", "is_required")).alias("reg"))
-    report = F.pandas_udf(lambda a, b: pd.Series([changes_of([] if x is None else list(x), list(y)) for x, y in zip(a, b)]), "array<struct<change: string, field_path: string>>")
-    whole = ids.join(per_file, "file_id", "left").crossJoin(F.broadcast(reg))  # the registry is one row
-    return whole.select("file_id", F.explode(report("rows", "reg")).alias("x")).select("file_id", "x.*")
+    own = F.element_at("path", -1)
+    std = flat.select("file_id", F.array_join("std", ".").alias("at"), F.array_join(F.slice("std", 1, F.size("std") - 1), ".").alias("parent"), own.alias("name"), (own != F.element_at("std", -1)).alias("renamed"), "raw_type", "value", "path")
+    known = F.array_contains(paths, F.col("at"))
+    # of members that stand for one path that under the registered name counts, and of aliases the first; the others are foreign
+    first = F.row_number().over(Window.partitionBy("file_id", "at").orderBy("renamed", "name", "path"))
+    placed = std.withColumn("k", F.when(known, first))
+    per = placed.groupBy("file_id").agg(
+        F.map_from_entries(F.collect_list(F.when(F.col("k") == 1, F.struct("at", F.struct("name", "renamed", "raw_type", "value"))))).alias("at"),
+        F.collect_set(F.when(F.coalesce(F.col("k") != 1, F.lit(True)), F.struct("parent", "name"))).alias("foreign"),
+    )
+    return files.select("file_id").distinct().join(per, "file_id", "left"), agreed
 
 
-def _cast(value: F.Column, json_type: str) -> F.Column:
+def changes(files: DataFrame, registry: DataFrame) -> DataFrame:
+    """(file_id, change, field_path): every change of a file against the registry, topmost paths only.
+
+    Each registered path is projected out of the file's path-value map: absent, under another name, or of a type that the
+    registered one does not take. A path is looked at if all objects above it are there as objects.
+    """
+    whole, agreed = projected(files, registry)
+    kinds = {p: t for p, t, _ in agreed}
+    got = lambda p: F.element_at("at", F.lit(p))
+    opens = lambda p: F.coalesce(got(p)["raw_type"] == "object", F.lit(False)) if kinds[p] == "object" else F.lit(False)
+
+    def above(p: str) -> Column:
+        parts, out = p.split("."), F.lit(True)
+        for i in range(1, len(parts)):
+            up = ".".join(parts[:i])
+            out = out & (opens(up) if up in kinds else F.lit(False))
+        return out
+
+    found = []
+    for p, kind, required in agreed:
+        here = got(p).isNotNull()
+        found.append(F.when(above(p) & here & got(p)["renamed"], F.struct(F.lit("renamed").alias("change"), F.lit(p).alias("field_path"))))
+        found.append(F.when(above(p) & here & ~_valid(got(p)["raw_type"], kind), F.struct(F.lit("retyped").alias("change"), F.lit(p).alias("field_path"))))
+        if required:
+            found.append(F.when(above(p) & ~here, F.struct(F.lit("removed").alias("change"), F.lit(p).alias("field_path"))))
+    objects = [p for p, t, _ in agreed if t == "object"]
+    open_ = F.filter(F.array(F.lit(""), *[F.when(above(p) & opens(p), F.lit(p)) for p in objects]), lambda x: x.isNotNull())
+    full = lambda x: F.when(x["parent"] == "", x["name"]).otherwise(F.concat(x["parent"], F.lit("."), x["name"]))
+    registered = F.array(*[F.lit(p) for p in kinds]) if kinds else F.array().cast("array<string>")
+    extra = F.filter(F.coalesce("foreign", F.array().cast("array<struct<parent: string, name: string>>")), lambda x: F.array_contains(open_, x["parent"]) & ~F.array_contains(registered, full(x)))
+    added = F.transform(extra, lambda x: F.struct(F.lit("added").alias("change"), full(x).alias("field_path")))
+    every = F.concat(F.filter(F.array(*found), lambda x: x.isNotNull()), added) if found else added
+    return whole.select("file_id", F.inline(every)).distinct()
+
+
+def _cast(value: Column, json_type: str) -> Column:
     sql = {"int": "int", "double": "double", "boolean": "boolean", "string": "string"}.get(json_type)
     if sql:
         return value.try_cast(sql)
@@ -248,17 +271,10 @@ def _cast(value: F.Column, json_type: str) -> F.Column:
 
 
 def conformed(files: DataFrame, registry: DataFrame) -> DataFrame:
-    """One row per file in the registered form: a typed column per leaf path, plus ``failed_casts``.
-
-    The registry is the agreed schema, one row per column of the result, and is read by the driver as such.
-    """
-    leaves = [(r["field_path"], r["json_type"]) for r in registry.where("json_type <> 'object'").orderBy("field_path").collect()]
-    flat, _ = aliases(files, registry)
-    foreign = F.reverse(F.zip_with("path", "std", lambda a, b: a != b))  # of two values for one path that under the registered names
-    first = flat.groupBy("file_id", F.array_join("std", ".").alias("at")).agg(F.min_by("value", F.struct(foreign, "path")).alias("value")).withColumnRenamed("at", "path")
-    maps = first.groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("path", "value"))).alias("m"))
-    whole = files.select("file_id").distinct().join(maps, "file_id", "left")
-    got = lambda p: F.element_at("m", F.lit(p))
+    """One row per file in the registered form: a typed column per leaf path, plus ``failed_casts``."""
+    whole, agreed = projected(files, registry)
+    leaves = [(p, t) for p, t, _ in agreed if t != "object"]
+    got = lambda p: F.element_at("at", F.lit(p))["value"]
     failed = F.filter(F.array(*[F.when(got(p).isNotNull() & _cast(got(p), t).isNull(), F.lit(p)) for p, t in leaves]), lambda x: x.isNotNull())
     return whole.select("file_id", *[_cast(got(p), t).alias(p.replace(".", "__")) for p, t in leaves], failed.alias("failed_casts"))
 
