@@ -24,7 +24,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..common import checkpointed
@@ -36,19 +36,45 @@ _LONG = 200_000
 COUNTS = "content string, tokenizer string, n_tokens long"
 
 
-@lru_cache(maxsize=4)
-def encoder(path: str) -> object:
-    """The encoder of a rank file, once per worker."""
+def pattern_of(path: str) -> str:
+    """The splitting pattern that belongs to a rank file, from the module beside it."""
     import importlib.util
 
-    import tiktoken
-
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
     spec = importlib.util.spec_from_file_location("_public_tokenizers", os.path.join(os.path.dirname(path), "__init__.py"))
     module = importlib.util.module_from_spec(spec)
     spec.loader.exec_module(module)
-    return tiktoken.Encoding("own", pat_str=module.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return module.PATTERN
+
+
+def _encoding(ranks: bytes, pattern: str) -> object:
+    import tiktoken
+
+    table = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.splitlines())}
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=table, special_tokens={})
+
+
+@lru_cache(maxsize=4)
+def encoder(path: str) -> object:
+    """The encoder of a rank file."""
+    with open(path, "rb") as f:
+        return _encoding(f.read(), pattern_of(path))
+
+
+class Shipped:
+    """A tokenizer as it goes to the workers: about a megabyte, broadcast, so that only the driver needs the folder. Made once per worker."""
+
+    _made: dict[str, object] = {}
+
+    def __init__(self, path: str) -> None:
+        with open(path, "rb") as f:
+            ranks = f.read()
+        self.name, self.pattern = tokenizer_hash(path), pattern_of(path)
+        self.share = SparkSession.getActiveSession().sparkContext.broadcast(ranks)
+
+    def count(self, text: str | None) -> int:
+        if self.name not in self._made:
+            self._made[self.name] = _encoding(self.share.value, self.pattern)
+        return counted(text, self._made[self.name])
 
 
 def tokenizer_hash(path: str) -> str:
@@ -59,9 +85,13 @@ def tokenizer_hash(path: str) -> str:
 
 def n_tokens(text: str | None, path: str) -> int:
     """The number of tokens of a whole text."""
+    return counted(text, encoder(path)) if text else 0
+
+
+def counted(text: str | None, enc: object) -> int:
+    """The number of tokens of a whole text under an encoder."""
     if not text:
         return 0
-    enc = encoder(path)
     if len(text) < _LONG:
         return len(enc.encode_ordinary(text))
     cuts = [0, *[m.end() - 1 for m in re.finditer(r"[^\W\d_] (?=[^\W\d_])", text)], len(text)]
@@ -76,7 +106,8 @@ def n_tokens(text: str | None, path: str) -> int:
 def token_count(text: F.Column | str, path: str | None = None) -> F.Column:
     """Tokens of a text column, null and empty texts have none."""
     path = path or f"{TOKENIZERS}/{TOKENIZER}"
-    return F.pandas_udf(lambda s: s.map(lambda t: n_tokens(t, path)).astype("int64"), "long")(text)
+    own = Shipped(path)
+    return F.pandas_udf(lambda s: s.map(own.count).astype("int64"), "long")(text)
 
 
 def content_hash(text: F.Column | str) -> F.Column:
@@ -106,7 +137,8 @@ def documents(rows: DataFrame) -> DataFrame:
 def new_counts(rows: DataFrame, known: DataFrame | None = None, path: str | None = None) -> DataFrame:
     """(content, tokenizer, n_tokens) of contents that ``known`` lacks for this tokenizer."""
     path = path or f"{TOKENIZERS}/{TOKENIZER}"
-    name = tokenizer_hash(path)
+    own = Shipped(path)
+    name = own.name
     fresh = rows.select("content", "text")
     if known is not None:
         fresh = fresh.join(known.where(F.col("tokenizer") == name).select("content"), "content", "left_anti")
@@ -114,7 +146,7 @@ def new_counts(rows: DataFrame, known: DataFrame | None = None, path: str | None
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             once = b.drop_duplicates("content")
-            yield pd.DataFrame({"content": once["content"], "tokenizer": name, "n_tokens": [n_tokens(t, path) for t in once["text"]]})
+            yield pd.DataFrame({"content": once["content"], "tokenizer": name, "n_tokens": [own.count(t) for t in once["text"]]})
 
     return fresh.mapInPandas(run, COUNTS).groupBy("content", "tokenizer").agg(F.max("n_tokens").alias("n_tokens"))
 

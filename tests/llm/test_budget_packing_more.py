@@ -41,3 +41,16 @@ def test_limits_that_bind(spark):
     assert full.agg(F.max("l")).first()[0] <= 80 and full.agg(F.max("s")).first()[0] <= 2
     assert [r[2:] for r in rows(P.audit(got.where("doc_id <> 3"), sized, kinds, **how))] == [(1, 0, 0, 0)]
     assert P.placed(sized, kinds, block=None).select("block").distinct().count() == 1
+
+
+@have
+def test_workers_without_the_folder_take_the_file_of_the_job(spark, tmp_path):
+    import shutil
+
+    for n in (T.TOKENIZER, "__init__.py"):
+        shutil.copy(f"{T.TOKENIZERS}/{n}", tmp_path / n)
+    path = f"{tmp_path}/{T.TOKENIZER}"
+    col = T.token_count("t", path)
+    (tmp_path / T.TOKENIZER).unlink()  # as on a worker: only what came with the job is there
+    df = spark.createDataFrame([("Zmluvná pokuta",), (None,)], "t string")
+    assert [r[0] for r in df.select(col).collect()] == [T.n_tokens("Zmluvná pokuta", f"{T.TOKENIZERS}/{T.TOKENIZER}"), 0]
