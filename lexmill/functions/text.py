@@ -267,9 +267,11 @@ def positions(x: Column, pattern: str) -> Column:
 
 
 def near(x: Column, a: str, b: str, within: int = 250) -> Column:
-    """Whether a match of ``a`` starts within so many characters of one of ``b``."""
-    p, q = positions(x, a), positions(x, b)
-    return F.exists(p, lambda i: F.exists(q, lambda j: F.abs(i - j) <= within))
+    """Whether a match of ``a`` starts within so many characters of one of ``b``. The nearest two stand side by side once all are sorted."""
+    place = lambda pattern, side: F.transform(positions(x, pattern), lambda i: F.struct(i.alias("at"), F.lit(side).alias("side")))
+    both = F.array_sort(F.concat(place(a, 0), place(b, 1)))
+    beside = F.zip_with(both, F.slice(both, F.lit(2), F.greatest(F.size(both), F.lit(1))), lambda i, j: F.coalesce((i["side"] != j["side"]) & (j["at"] - i["at"] <= within), F.lit(False)))
+    return F.exists(beside, lambda v: v)
 
 
 def keyword_in_context(x: Column | str, pattern: str, window: int = 140) -> Column:

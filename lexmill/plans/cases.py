@@ -77,6 +77,13 @@ def case_records(s: SparkSession, d: str) -> DataFrame:
     return _records(s, d).select("extraction_id", "penalty_no", "penalty_id", "contract_type", "breach_type", "rate_type", "currency", "decision", "secured_principal", F.size("flags").alias("n_flags"), "authority_level", "card")
 
 
+def case_columns(s: SparkSession, d: str) -> DataFrame:
+    """The other columns of the records."""
+    r = _records(s, d)
+    said = F.array_join(F.transform("factors", lambda f: F.concat_ws(":", f["label"], f["sentiment"])), ",")
+    return r.select("extraction_id", "penalty_no", "relationship_type", "rate_value_raw", "original_claimed", "final_awarded", "dismissal_reason", "reasoning", said.alias("factors"), F.array_join("flags", ",").alias("flags"), "court_name", "case_number", "decision_date")
+
+
 def case_filter(s: SparkSession, d: str) -> DataFrame:
     return C.filter_counts(_records(s, d), INTENT)
 
@@ -132,7 +139,7 @@ def s6_alignment(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    j6_evidence, j8_grounding, j10_repaired, j11_checks, j11_currency, j1_merged_calls, l1_prompts, l8_parsed, l10_meta, l11_totals, case_records, case_filter, case_fallback, case_ranking, case_statistics,
+    j6_evidence, j8_grounding, j10_repaired, j11_checks, j11_currency, j1_merged_calls, l1_prompts, l8_parsed, l10_meta, l11_totals, case_records, case_columns, case_filter, case_fallback, case_ranking, case_statistics,
     case_factors, case_report, case_profile, case_repeats, s17_upserted, s20_documents, s22_unfinished, s6_alignment,
 )}
 
@@ -178,6 +185,9 @@ SQL = {
        CASE WHEN decision <> '' THEN 'Rozhodnutie: ' || CASE decision {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in DECISION_LABELS.items())} ELSE decision END || '.' END,
        CASE WHEN len({_MENTIONED}) > 0 THEN 'Faktory: ' || array_to_string(list_transform({_MENTIONED}, lambda f: coalesce(f.label, '') || ' (' || f.sentiment || ')'), ', ') || '.' END,
        CASE WHEN reasoning <> '' THEN CASE WHEN length(reasoning) <= 200 THEN reasoning WHEN instr(left(reasoning, 200), ' ') > 1 THEN regexp_extract(left(reasoning, 200), '(?s)^(.*) [^ ]*$', 1) ELSE left(reasoning, 200) END END], lambda x: x IS NOT NULL), ' ') AS card FROM r""",
+    "case_columns": _FLAT + """ SELECT r.extraction_id, r.penalty_no, relationship_type, rate_value_raw, original_claimed, final_awarded, pp.p.moderation_analysis.decision.dismissal_reason AS dismissal_reason, reasoning,
+      array_to_string(list_transform(factors, lambda f: array_to_string(list_filter([f.label, f.sentiment], lambda x: x IS NOT NULL), ':')), ',') AS factors, array_to_string(flags, ',') AS flags, court_name, case_number, mm.m.decision_date AS decision_date
+      FROM r JOIN pens pp ON pp.extraction_id = r.extraction_id AND pp.penalty_no = r.penalty_no JOIN meta mm ON mm.extraction_id = r.extraction_id""",
     "case_filter": _FLAT + f", n AS (SELECT count(*) AS k FROM r WHERE {_MATCH}) SELECT CASE WHEN k = 0 THEN 'none_fallback' ELSE 'strict' END AS filter_type, count(*) AS n_filtered, (SELECT count(*) FROM r) AS n_total FROM r, n WHERE k = 0 OR ({_MATCH}) GROUP BY 1",
     "case_fallback": _FLAT + " SELECT 'none_fallback' AS filter_type, count(*) AS n_filtered, count(*) AS n_total FROM r",
     "case_ranking": _FLAT + f""", n AS (SELECT count(*) AS k FROM r WHERE {_MATCH}), c AS (SELECT r.*, coalesce(secured_principal, original_claimed) AS own, list_transform({_MENTIONED}, lambda f: f.label) AS told FROM r, n WHERE k = 0 OR ({_MATCH})),

@@ -112,6 +112,33 @@ def x20_case_match(s: SparkSession, d: str) -> DataFrame:
     return docs.join(files, "variant").groupBy("extraction_id").agg(F.min("filename").alias("filename"))
 
 
+def t4_body(s: SparkSession, d: str) -> DataFrame:
+    return _files(s, d).select("filename", T.split_header("text").alias("x")).select("filename", "x.body")
+
+
+def x2_reasoning(s: SparkSession, d: str) -> DataFrame:
+    return _files(s, d).select("filename", T.segments("text").alias("x")).select("filename", "x.reasoning")
+
+
+def x6_kinds(s: SparkSession, d: str) -> DataFrame:
+    return read(s, d, "documents").select("doc_id", F.array_join(T.contract_kinds("text"), ",").alias("kinds"))
+
+
+def j13_features(s: SparkSession, d: str) -> DataFrame:
+    """Decisions with the features of their courts, those without any kept."""
+    files = read(s, d, "processed_json").select("filename", "court").distinct()
+    return files.join(F.broadcast(read(s, d, "courts")), "court", "left").select("filename", "court", "court_code", "tier", "town")  # the fixed table of courts
+
+
+def j14_metadata(s: SparkSession, d: str) -> DataFrame:
+    """Metadata by the first source that has them: the row, the metadata, the file's name, a word for unknown."""
+    p = read(s, d, "processed_json").select("filename", "court", "metadata").distinct()
+    parts = F.split("filename", "_")
+    docket = F.when(F.size(parts) >= 5, F.concat_ws("/", F.get(parts, F.lit(2)), F.get(parts, F.lit(3)), F.get(parts, F.lit(4))))
+    of = lambda *cs: F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in cs], F.lit("Unknown"))
+    return p.select("filename", of(F.col("court"), F.col("metadata.court")).alias("court_name"), of(F.col("metadata.case_id"), docket).alias("docket"), of(F.col("metadata.document_type")).alias("kind"), of(F.col("metadata.ecli")).alias("ecli")).distinct()
+
+
 def t16_numbers(s: SparkSession, d: str) -> DataFrame:
     """Numbers out of free text: amounts as written, dockets, lengths."""
     return read(s, d, "chunks").select("chunk_id", T.safe_number(F.regexp_extract("page_content", r"(\d+(?:\.\d+)?)", 1)).alias("first"), T.safe_number("case_id").alias("docket")).distinct()
@@ -224,7 +251,7 @@ def c9_blocks(s: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     t1_clean_light, t2_pages_without_pagination, t4_header_and_body, t7_layout, t8_punctuation_and_space, t11_plain, t13_names_and_numbers, t18_cut, x1_header_meta, x2_segments, x5_features, x6_contract_kinds,
     x7_proximity, x8_in_context, x9_section, x10_commercial, x13_courts, x17_health, x19_variants, x20_case_match, x21_chunk_number, k1_tokens, k2_lengths, c1_recursive, c3_paragraphs, c4_parents, c5_children,
-    c7_report, c8_golden_only, c9_blocks, t6_spaced, t16_numbers, t21_rounded, x4_structure, x11_register, x18_courts, x20_court_match, x22_experiments, x23_entities, x23_money, k5_budget,
+    c7_report, c8_golden_only, c9_blocks, t4_body, x2_reasoning, x6_kinds, j13_features, j14_metadata, t6_spaced, t16_numbers, t21_rounded, x4_structure, x11_register, x18_courts, x20_court_match, x22_experiments, x23_entities, x23_money, k5_budget,
 )}
 
 
@@ -310,6 +337,11 @@ SQL = {
     "c7_report": f"SELECT strategy, count(*) AS n_chunks, count(DISTINCT filename) AS n_docs, round(count(*) / count(DISTINCT filename), 6) AS per_doc FROM {_PARAS} GROUP BY strategy",
     "c8_golden_only": f"SELECT filename, count(*) AS n_chunks, sum(token_len) AS n_tokens FROM {_PARAS} WHERE filename IN (SELECT document_name FROM golden_dataset_template) GROUP BY filename",
     "c9_blocks": f"SELECT doc_id, count(*) AS n_blocks, max(n) AS longest, round(quantile_cont(n, 0.95), 6) AS p95 FROM (SELECT doc_id, length({sql_squash('b')}) AS n FROM (SELECT doc_id, unnest(string_split_regex(coalesce(text, ''), '\\n{WS}*\\n')) AS b FROM documents)) WHERE n > 0 GROUP BY doc_id",
+    "t4_body": f"""SELECT filename, CASE WHEN h <> '' THEN {sql_strip("substr(text, instr(text, h))")} WHEN e <> '' THEN {sql_strip("substr(text, instr(text, e) + length(e))")} ELSE substr(text, 1001) END AS body FROM (SELECT filename, text, regexp_extract(text, {_HEAD}) AS h, regexp_extract(text, 'ECLI:[^\\n]+\\n') AS e FROM {_FILES})""",
+    "x2_reasoning": f"""SELECT filename, CASE WHEN r <> '' AND i <> '' THEN {sql_strip("left(rest, instr(rest, i) - 1)")} WHEN r <> '' THEN rest ELSE '' END AS reasoning FROM (SELECT *, regexp_extract(rest, {_HOW}) AS i FROM (SELECT *, {sql_strip("substr(text, instr(text, r))")} AS rest FROM (SELECT filename, text, regexp_extract(text, {_WHY}) AS r FROM {_FILES})))""",
+    "x6_kinds": "SELECT doc_id, CASE WHEN len(h) > 0 THEN array_to_string(h, ',') ELSE 'unknown/other' END AS kinds FROM (SELECT doc_id, list_filter([" + ", ".join(f"CASE WHEN regexp_matches(t, {re2(p)}) THEN '{n}' END" for n, p in CONTRACTS.items()) + f"], lambda x: x IS NOT NULL) AS h FROM (SELECT doc_id, {sql_plain('text')} AS t FROM documents))",
+    "j13_features": "SELECT DISTINCT filename, p.court AS court, court_code, tier, town FROM processed_json p LEFT JOIN courts c ON c.court = p.court",
+    "j14_metadata": "SELECT DISTINCT filename, coalesce(nullif(trim(court), ''), nullif(trim(metadata.court), ''), 'Unknown') AS court_name, coalesce(nullif(trim(metadata.case_id), ''), CASE WHEN len(string_split(filename, '_')) >= 5 THEN array_to_string(string_split(filename, '_')[3:5], '/') END, 'Unknown') AS docket, coalesce(nullif(trim(metadata.document_type), ''), 'Unknown') AS kind, coalesce(nullif(trim(metadata.ecli), ''), 'Unknown') AS ecli FROM processed_json",
     "t6_spaced": f"SELECT DISTINCT filename, line FROM (SELECT filename, unnest(string_split(text, chr(10))) AS line FROM {_FILES}) WHERE length(trim(regexp_replace(line, '[.:]+$', ''))) >= 5 AND regexp_matches(trim(regexp_replace(line, '[.:]+$', '')), '^{WS}*(?:[a-zA-ZÁ-Žá-ž]{WS}+){{3,}}[a-zA-ZÁ-Žá-ž]{WS}*$')",
     "t16_numbers": "SELECT DISTINCT chunk_id, try_cast(nullif(regexp_extract(page_content, '([0-9]+(?:\\.[0-9]+)?)', 1), '') AS DOUBLE) AS first, try_cast(case_id AS DOUBLE) AS docket FROM chunks",
     "t21_rounded": "SELECT l_orderkey, l_linenumber, round_even(l_quantity::DOUBLE / 2, 0) AS half, round_even(l_quantity::DOUBLE / 4, 1) AS quarter FROM lineitem",

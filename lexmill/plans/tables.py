@@ -105,6 +105,20 @@ def d22_revenue(s: SparkSession, d: str) -> DataFrame:
     return j.groupBy("r_name", F.date_format("o_orderdate", "yyyy").alias("year")).agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count("*").alias("n"))
 
 
+def d5_coerced(s: SparkSession, d: str) -> DataFrame:
+    """Texts as numbers, null where they are none."""
+    c = read(s, d, "customer")
+    return c.select("c_custkey", F.substring("c_name", -3, 3).try_cast("double").alias("tail"), F.col("c_mktsegment").try_cast("double").alias("segment"))
+
+
+def d22_savings(s: SparkSession, d: str) -> DataFrame:
+    """Tokens of whole documents against those of two calls with seven chunks each, in per cent saved; a token is four characters."""
+    chunk = read(s, d, "chunks").where("page_content IS NOT NULL").select("chunk_id", F.floor(F.char_length("page_content") / 4).alias("n")).distinct().agg(F.avg("n").alias("mean_chunk"))
+    doc = read(s, d, "processed_json").where("reasoning_full IS NOT NULL").select("filename", F.floor(F.char_length("reasoning_full") / 4).alias("n")).distinct().agg(F.avg("n").alias("mean_document"))
+    one = chunk.crossJoin(F.broadcast(doc))  # a row each
+    return one.select(F.round("mean_chunk", 4).alias("mean_chunk"), F.round("mean_document", 4).alias("mean_document"), F.round(14 * F.col("mean_chunk"), 4).alias("per_document"), F.round((1 - 14 * F.col("mean_chunk") / F.col("mean_document")) * 100, 4).alias("saved_percent"))
+
+
 def d23_adaptive_curve(s: SparkSession, d: str) -> DataFrame:
     from ..operators.retrieval import adaptive_k
 
@@ -123,7 +137,7 @@ def w1_windowed_events(s: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     d1_means, d2_mapped, d3_pivot, d4_difference, d6_missing, d7_counts, d8_described, d9_rate, d10_latest, d11_stratified, d12_sample, d13_histogram, d14_pareto, d15_interpolated, d16_overlap, d17_interval, d18_milestones, d19_best,
-    d20_masks, d22_revenue, d23_adaptive_curve, s14_union, w1_windowed_events,
+    d20_masks, d5_coerced, d22_savings, d22_revenue, d23_adaptive_curve, s14_union, w1_windowed_events,
 )}
 
 _DRAW = lambda k: f"md5(CAST({k} AS VARCHAR) || ':42')"
@@ -152,6 +166,8 @@ SQL = {
     "d19_best": "SELECT o_orderpriority, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders) WHERE k = 1",
     "d20_masks": "SELECT count(*) FILTER (starts_with(p_type, 'STANDARD')) AS n_prefix, count(*) FILTER (contains(p_type, 'BRASS')) AS n_contains, count(*) FILTER (p_brand IN ('Brand#11', 'Brand#22')) AS n_in, count(*) FILTER (regexp_matches(p_brand, '#[1-3]')) AS n_pattern FROM part",
     "d22_revenue": "SELECT r_name, strftime(o_orderdate, '%Y') AS year, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2",
+    "d5_coerced": "SELECT c_custkey, try_cast(right(c_name, 3) AS DOUBLE) AS tail, try_cast(c_mktsegment AS DOUBLE) AS segment FROM customer",
+    "d22_savings": "WITH c AS (SELECT avg(n) AS m FROM (SELECT DISTINCT chunk_id, floor(length(page_content) / 4) AS n FROM chunks WHERE page_content IS NOT NULL)), d AS (SELECT avg(n) AS m FROM (SELECT DISTINCT filename, floor(length(reasoning_full) / 4) AS n FROM processed_json WHERE reasoning_full IS NOT NULL)) SELECT round(c.m, 4) AS mean_chunk, round(d.m, 4) AS mean_document, round(14 * c.m, 4) AS per_document, round((1 - 14 * c.m / d.m) * 100, 4) AS saved_percent FROM c, d",
     "d23_adaptive_curve": "SELECT n AS n_chunks, CAST(CASE WHEN n <= 30 THEN 7 ELSE least(12, 7 + floor((n - 30) / 15)) END AS INTEGER) AS k FROM range(1, 131) t(n)",
     "s14_union": "SELECT s_name AS name, s_nationkey AS nation, 'supplier' AS kind, NULL AS segment FROM supplier UNION ALL SELECT c_name, NULL, 'customer', c_mktsegment FROM customer",
     "w1_windowed_events": "SELECT time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '1970-01-01') AS window_start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2",
