@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -258,20 +259,25 @@ def contract_kinds(x: Column | str) -> Column:
     return F.when(F.size(hits) > 0, hits).otherwise(F.array(F.lit("unknown/other")))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def positions(x: Column, pattern: str) -> Column:
     """Start positions (from 0) of all matches, as lengths of the text before them."""
     marked = F.regexp_replace(x, f"({portable(pattern)})", "\u0001$1")
-    before = F.split(marked, "\u0001")
-    sizes = F.transform(before, lambda s: F.char_length(s))
-    return F.when(F.size(before) > 1, F.transform(F.sequence(F.lit(1), F.size(before) - 1), lambda i: F.aggregate(F.slice(sizes, 1, i), F.lit(0), lambda a, b: a + b))).otherwise(F.array().cast("array<int>"))
+    sizes = F.transform(F.split(marked, "\u0001"), lambda s: F.char_length(s))
+    none = F.array().cast("array<int>")
+    return let(sizes, lambda n: F.when(F.size(n) > 1, F.transform(F.sequence(F.lit(1), F.size(n) - 1), lambda i: F.aggregate(F.slice(n, F.lit(1), i), F.lit(0), lambda a, b: a + b))).otherwise(none))
 
 
 def near(x: Column, a: str, b: str, within: int = 250) -> Column:
     """Whether a match of ``a`` starts within so many characters of one of ``b``. The nearest two stand side by side once all are sorted."""
     place = lambda pattern, side: F.transform(positions(x, pattern), lambda i: F.struct(i.alias("at"), F.lit(side).alias("side")))
     both = F.array_sort(F.concat(place(a, 0), place(b, 1)))
-    beside = F.zip_with(both, F.slice(both, F.lit(2), F.greatest(F.size(both), F.lit(1))), lambda i, j: F.coalesce((i["side"] != j["side"]) & (j["at"] - i["at"] <= within), F.lit(False)))
-    return F.exists(beside, lambda v: v)
+    close = lambda i, j: F.coalesce((i["side"] != j["side"]) & (j["at"] - i["at"] <= within), F.lit(False))
+    return let(both, lambda m: F.exists(F.zip_with(m, F.slice(m, F.lit(2), F.greatest(F.size(m), F.lit(1))), close), lambda v: v))
 
 
 def keyword_in_context(x: Column | str, pattern: str, window: int = 140) -> Column:
