@@ -115,14 +115,13 @@ def _resolve(level: DataFrame, registered: DataFrame) -> DataFrame:
     reg = registered.select("parent", F.col("name").alias("r"), "json_type", "child_names")
     holders = level.where("name IS NULL").select("file_id", "parent")
     named = level.where("name IS NOT NULL")
-    known = named.join(small_side(reg.select("parent", F.col("r").alias("name"))), ["parent", "name"], "left_semi")
-    foreign = named.join(small_side(reg.select("parent", F.col("r").alias("name"))), ["parent", "name"], "left_anti")
+    known = named.join(F.broadcast(reg.select("parent", F.col("r").alias("name"))), ["parent", "name"], "left_semi")
+    foreign = named.join(F.broadcast(reg.select("parent", F.col("r").alias("name"))), ["parent", "name"], "left_anti")
     n_files = holders.groupBy("parent").agg(F.count("*").alias("n_files"))
     n_known = known.groupBy("parent", F.col("name").alias("r")).agg(F.count("*").alias("n_known"))
     base = reg.join(n_files, "parent").join(n_known, ["parent", "r"], "left").withColumn("absent", 1 - F.coalesce("n_known", F.lit(0)) / F.col("n_files"))
-    base = small_side(checkpointed(base))
     present = known.groupBy("file_id", "parent").agg(F.collect_set("name").alias("have"))
-    pairs = foreign.join(present, ["file_id", "parent"], "left").join(base, "parent")
+    pairs = checkpointed(foreign.join(present, ["file_id", "parent"], "left").join(F.broadcast(base), "parent"))  # base: a row per registered path
     alone = ~F.coalesce(F.array_contains("have", F.col("r")), F.lit(False))
     kind = F.col("raw_type")
     want = F.col("json_type")
@@ -161,15 +160,16 @@ def aliases(files: DataFrame, registry: DataFrame) -> tuple[DataFrame, DataFrame
     ``path`` holds a member's names, ``std`` those it is registered under. As many levels are resolved as the registry,
     the agreed schema, has; deeper members belong to a value.
     """
-    reg = registry.select(
-        "field_path", "json_type", "is_required", F.regexp_extract("field_path", r"^(?:(.*)\.)?[^.]+$", 1).alias("parent"), F.substring_index("field_path", ".", -1).alias("name")
-    )
-    kids = reg.groupBy(F.col("parent").alias("field_path")).agg(F.collect_set("name").alias("child_names"))
-    reg = checkpointed(reg.join(kids, "field_path", "left"))
-    levels = reg.agg(F.max(F.size(F.split("field_path", r"\.")))).first()[0] or 1
+    agreed = _agreed(registry)
+    kids: dict[str, list[str]] = {}
+    for p, _, _ in agreed:
+        kids.setdefault(p.rpartition(".")[0], []).append(p.rpartition(".")[2])
+    rows_ = [(p, t, need, p.rpartition(".")[0], p.rpartition(".")[2], kids.get(p)) for p, t, need in agreed]
+    reg = files.sparkSession.createDataFrame(rows_, "field_path string, json_type string, is_required boolean, parent string, name string, child_names array<string>")
+    levels = max((p.count(".") + 1 for p, _, _ in agreed), default=1)
     maps = path_values(files, levels)
     flat = checkpointed(maps.select("file_id", F.explode("nodes").alias("x")).select("file_id", "x.*", F.col("x.path").alias("std")).where("path[0] <> 'meta'"))
-    parents = small_side(reg.where("json_type = 'object'").select(F.col("field_path").alias("parent")))
+    parents = F.broadcast(reg.where("json_type = 'object'").select(F.col("field_path").alias("parent")))
     table = None
     for k in range(1, levels + 1):
         up = F.array_join(F.slice("std", 1, k - 1), ".") if k > 1 else F.lit("")
@@ -181,7 +181,7 @@ def aliases(files: DataFrame, registry: DataFrame) -> tuple[DataFrame, DataFrame
             holders = above.select("file_id", F.array_join("std", ".").alias("parent")).join(parents, "parent", "left_semi")
             rows = rows.join(parents, "parent", "left_semi")
         level = rows.unionByName(holders.withColumn("name", F.lit(None).cast("string")), allowMissingColumns=True)
-        found = checkpointed(_resolve(checkpointed(level), reg))
+        found = checkpointed(_resolve(level, reg))
         table = found if table is None else table.unionByName(found)
         look = found.select(F.col("file_id").alias("_f"), F.col("parent").alias("_p"), F.col("name").alias("_n"), F.col("stands_for").alias("_s"))
         own = (F.col("file_id") == F.col("_f")) & (up == F.col("_p")) & (F.get("path", F.lit(k - 1)) == F.col("_n"))
@@ -206,25 +206,23 @@ def _valid(kind: Column, registered: str) -> Column:
     return out
 
 
-def projected(files: DataFrame, registry: DataFrame) -> tuple[DataFrame, list[tuple[str, str, bool]]]:
+def projected(files: DataFrame, registry: DataFrame, values: bool = False) -> tuple[DataFrame, list[tuple[str, str, bool]]]:
     """(one row per file: file_id, at, foreign; the agreed schema). The path-value map of each file under registered paths.
 
-    ``at``: by registered path the name, raw type and value of the member that stands there, its own name before an alias;
+    ``at``: by registered path the name, raw type (and value) of the member that stands there, its own name before an alias;
     ``foreign``: (parent, name) of members that are not registered and stand for nothing.
     """
     agreed = _agreed(registry)
     paths = F.array(*[F.lit(p) for p, _, _ in agreed]) if agreed else F.array().cast("array<string>")
     flat, _ = aliases(files, registry)
-    own = F.element_at("path", -1)
-    std = flat.select("file_id", F.array_join("std", ".").alias("at"), F.array_join(F.slice("std", 1, F.size("std") - 1), ".").alias("parent"), own.alias("name"), (own != F.element_at("std", -1)).alias("renamed"), "raw_type", "value", "path")
-    known = F.array_contains(paths, F.col("at"))
-    # of members that stand for one path that under the registered name counts, and of aliases the first; the others are foreign
-    first = F.row_number().over(Window.partitionBy("file_id", "at").orderBy("renamed", "name", "path"))
-    placed = std.withColumn("k", F.when(known, first))
-    per = placed.groupBy("file_id").agg(
-        F.map_from_entries(F.collect_list(F.when(F.col("k") == 1, F.struct("at", F.struct("name", "renamed", "raw_type", "value"))))).alias("at"),
-        F.collect_set(F.when(F.coalesce(F.col("k") != 1, F.lit(True)), F.struct("parent", "name"))).alias("foreign"),
-    )
+    own, stands = F.element_at("path", -1), F.element_at("std", -1)
+    parent = F.array_join(F.slice("std", 1, F.size("std") - 1), ".")
+    member = F.struct(F.array_join("std", ".").alias("at"), (own != stands).alias("renamed"), own.alias("name"), "path", parent.alias("parent"), "raw_type", *(["value"] if values else []))
+    per = flat.groupBy("file_id").agg(F.array_sort(F.collect_list(member)).alias("nodes"))
+    # sorted by place: of members that stand for one path that under the registered name comes first, and of aliases the first by name; the others are foreign
+    first = lambda x, i: F.array_contains(paths, x["at"]) & F.coalesce(F.get("nodes", i - 1)["at"] != x["at"], F.lit(True))
+    taken = F.transform(F.filter("nodes", first), lambda x: F.struct(x["at"], F.struct(*[x[c].alias(c) for c in ("name", "renamed", "raw_type", *(["value"] if values else []))])))
+    per = per.select("file_id", F.map_from_entries(taken).alias("at"), F.transform(F.filter("nodes", lambda x, i: ~first(x, i)), lambda x: F.struct(x["parent"].alias("parent"), x["name"].alias("name"))).alias("foreign"))
     return files.select("file_id").distinct().join(per, "file_id", "left"), agreed
 
 
@@ -272,7 +270,7 @@ def _cast(value: Column, json_type: str) -> Column:
 
 def conformed(files: DataFrame, registry: DataFrame) -> DataFrame:
     """One row per file in the registered form: a typed column per leaf path, plus ``failed_casts``."""
-    whole, agreed = projected(files, registry)
+    whole, agreed = projected(files, registry, values=True)
     leaves = [(p, t) for p, t, _ in agreed if t != "object"]
     got = lambda p: F.element_at("at", F.lit(p))["value"]
     failed = F.filter(F.array(*[F.when(got(p).isNotNull() & _cast(got(p), t).isNull(), F.lit(p)) for p, t in leaves]), lambda x: x.isNotNull())
