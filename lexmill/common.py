@@ -40,6 +40,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer splits than there are cores, dealt to all cores before costly work on its texts; a larger one stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(cores) if 0 < splits < cores else df
+
+
 def small_side(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast if ``df`` (best checkpointed before) has at most ``most`` rows; else leave it to a shuffle join."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

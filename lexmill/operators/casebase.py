@@ -102,13 +102,13 @@ def ranked(records: DataFrame, intent: Intent, likeness: Column | None = None, n
     near = F.greatest(F.lit(0.0), F.least(F.lit(1.0), likeness)) if likeness is not None else F.lit(0.0)
     a, b, c, d = WEIGHTS
     score = a * near + b * amount_score(intent.amount) + c * bonus_score(intent) + d * F.coalesce("authority_level", F.lit(1)) / 3
-    best = records.withColumn("score", F.round(score, 6)).orderBy(F.desc("score"), "extraction_id", "penalty_no").limit(n)
+    best = records.withColumn("score", F.bround(score, 6)).orderBy(F.desc("score"), "extraction_id", "penalty_no").limit(n)
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "extraction_id", "penalty_no")).cast("int"))
 
 
 def cards(best: DataFrame) -> DataFrame:
     """The records as shown."""
-    return best.select("rank", "extraction_id", "penalty_id", "case_number", "court_name", "contract_type", "breach_type", "decision", "currency", "secured_principal", F.round("score", 3).alias("score"), "authority_level")
+    return best.select("rank", "extraction_id", "penalty_id", "case_number", "court_name", "contract_type", "breach_type", "decision", "currency", "secured_principal", F.bround("score", 3).alias("score"), "authority_level")
 
 
 def statistics(records: DataFrame) -> DataFrame:
@@ -116,7 +116,7 @@ def statistics(records: DataFrame) -> DataFrame:
     n = lambda d: F.count(F.when(F.col("decision") == d, 1))
     out = records.agg(F.count("*").alias("n"), n("moderated_301").alias("n_moderated"), (n("moderated_301") + n("awarded_full")).alias("n_decided"))
     enough = (F.col("n") >= LEAST_RECORDS) & (F.col("n_decided") >= LEAST_DECISIONS)
-    return out.select("n", "n_decided", "n_moderated", F.when(enough, F.round(100 * F.col("n_moderated") / F.col("n_decided"), 1)).alias("moderation_rate_pct"))
+    return out.select("n", "n_decided", "n_moderated", F.when(enough, F.bround(100 * F.col("n_moderated") / F.col("n_decided"), 1)).alias("moderation_rate_pct"))
 
 
 def factor_counts(records: DataFrame) -> DataFrame:
@@ -213,10 +213,10 @@ def search_all(records: DataFrame, asked: DataFrame, n: int = 5, near: DataFrame
         part = part.withColumn("likeness", F.lit(0.0))
     w = WEIGHTS
     score = w[0] * F.coalesce("likeness", F.lit(0.0)) + w[1] * F.col("amount") + w[2] * F.col("bonus") + w[3] * F.col("authority")
-    scored = part.withColumn("score", F.round(score, 6)).withColumn("filter_type", F.when(F.col("n_suit") == 0, "none_fallback").otherwise("strict")).withColumn("n_filtered", F.when(F.col("n_suit") == 0, F.col("n_all")).otherwise(F.col("n_suit")))
+    scored = part.withColumn("score", F.bround(score, 6)).withColumn("filter_type", F.when(F.col("n_suit") == 0, "none_fallback").otherwise("strict")).withColumn("n_filtered", F.when(F.col("n_suit") == 0, F.col("n_all")).otherwise(F.col("n_suit")))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "extraction_id", "penalty_no"))
     best = scored.withColumn("rank", rank).where(F.col("rank") <= n)
-    return best.select("query_id", "filter_type", "n_filtered", "rank", "extraction_id", "penalty_no", "penalty_id", F.round(F.coalesce("likeness", F.lit(0.0)), 6).alias("likeness"), "score")
+    return best.select("query_id", "filter_type", "n_filtered", "rank", "extraction_id", "penalty_no", "penalty_id", F.bround(F.coalesce("likeness", F.lit(0.0)), 6).alias("likeness"), "score")
 
 
 def intent_summary(asked: DataFrame, found: DataFrame) -> DataFrame:

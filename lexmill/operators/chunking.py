@@ -117,7 +117,7 @@ def parents(df: DataFrame, text: str, key: str) -> DataFrame:
     return out.select(
         "source_file", F.format_string("%s_parent_%03d", F.regexp_replace("source_file", r"\.\w+$", ""), "parent_index").alias("parent_id"), "parent_index",
         F.coalesce(F.regexp_extract("page_content", rf"^{WS}*(\d+)\.", 1).try_cast("int"), F.lit(-1)).alias("point_number"),
-        F.round((F.col("parent_index") + 0.5) / F.col("n"), 4).alias("position_ratio"), F.char_length("page_content").alias("char_len"), token_length("page_content").alias("token_len"), "page_content",
+        F.bround((F.col("parent_index") + 0.5) / F.col("n"), 4).alias("position_ratio"), F.char_length("page_content").alias("char_len"), token_length("page_content").alias("token_len"), "page_content",
     )
 
 
@@ -130,10 +130,10 @@ def children(parents: DataFrame, whole: int = 280, size: int = 220, overlap: int
 
 def report(chunks: DataFrame) -> DataFrame:
     """Chunks in all and per document, by strategy."""
-    return chunks.groupBy("strategy").agg(F.count("*").alias("n_chunks"), F.countDistinct("filename").alias("n_docs")).withColumn("per_doc", F.round(F.col("n_chunks") / F.col("n_docs"), 6))
+    return chunks.groupBy("strategy").agg(F.count("*").alias("n_chunks"), F.countDistinct("filename").alias("n_docs")).withColumn("per_doc", F.bround(F.col("n_chunks") / F.col("n_docs"), 6))
 
 
 def block_stats(df: DataFrame, key: str, text: str) -> DataFrame:
     """Blocks between empty lines per text: how many, the longest and the 95th percentile of their lengths."""
     sizes = df.select(F.col(key), F.explode(F.split(F.coalesce(F.col(text), F.lit("")), rf"\n{WS}*\n")).alias("b")).select(key, F.char_length(squash("b")).alias("n")).where("n > 0")
-    return sizes.groupBy(key).agg(F.count("*").alias("n_blocks"), F.max("n").alias("longest"), F.round(F.percentile("n", 0.95), 6).alias("p95"))
+    return sizes.groupBy(key).agg(F.count("*").alias("n_blocks"), F.max("n").alias("longest"), F.bround(F.percentile("n", 0.95), 6).alias("p95"))

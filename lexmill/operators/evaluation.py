@@ -36,8 +36,8 @@ def scores(hit: DataFrame, ranked: DataFrame, query: DataFrame) -> DataFrame:
     both = per.join(got, ["gold_column", "doc"], "left")
     share = F.col("found") / F.col("expected")
     return both.select(
-        "gold_column", "doc", "expected", "found", F.round(share, 6).alias("recall"), F.when(F.col("found") == F.col("expected"), "PERFECT").when(F.col("found") > 0, "PARTIAL").otherwise("MISS").alias("hit_class"),
-        F.round(F.coalesce(1 / F.col("first"), F.lit(0.0)), 6).alias("reciprocal_rank"), F.round(F.coalesce(F.col("chunks") / F.col("returned"), F.lit(0.0)), 6).alias("precision"),
+        "gold_column", "doc", "expected", "found", F.bround(share, 6).alias("recall"), F.when(F.col("found") == F.col("expected"), "PERFECT").when(F.col("found") > 0, "PARTIAL").otherwise("MISS").alias("hit_class"),
+        F.bround(F.coalesce(1 / F.col("first"), F.lit(0.0)), 6).alias("reciprocal_rank"), F.bround(F.coalesce(F.col("chunks") / F.col("returned"), F.lit(0.0)), 6).alias("precision"),
     )
 
 
@@ -46,12 +46,12 @@ def coverage(rows: DataFrame, fetched: DataFrame, by: list[str]) -> DataFrame:
     size = rows.select("doc", "idx", F.char_length("text").alias("n"))
     total = size.groupBy("doc").agg(F.sum("n").alias("total"))
     got = fetched.select(*by, "doc", "idx").distinct().join(size, ["doc", "idx"]).groupBy(*by, "doc").agg(F.sum("n").alias("got"))
-    return got.join(total, "doc").select(*by, "doc", F.round(100 * F.col("got") / F.col("total"), 1).alias("coverage"))
+    return got.join(total, "doc").select(*by, "doc", F.bround(100 * F.col("got") / F.col("total"), 1).alias("coverage"))
 
 
 def summary(score: DataFrame) -> DataFrame:
     """Means over all document-column pairs, by column."""
-    return score.groupBy("gold_column").agg(F.count("*").alias("n"), F.round(100 * F.avg("recall"), 4).alias("recall_percent"), F.round(F.avg("reciprocal_rank"), 4).alias("mrr"), F.round(F.avg("precision"), 4).alias("precision_at_k"))
+    return score.groupBy("gold_column").agg(F.count("*").alias("n"), F.bround(100 * F.avg("recall"), 4).alias("recall_percent"), F.bround(F.avg("reciprocal_rank"), 4).alias("mrr"), F.bround(F.avg("precision"), 4).alias("precision_at_k"))
 
 
 def grid(ranked: DataFrame, rows: DataFrame, query: DataFrame, gold: DataFrame, ks: list[int]) -> DataFrame:
@@ -62,8 +62,8 @@ def grid(ranked: DataFrame, rows: DataFrame, query: DataFrame, gold: DataFrame,
     found = h.crossJoin(cut).groupBy("k").agg(F.count("*").alias("n_quotes"), F.sum(F.when(F.col("rank") <= F.col("k"), 1).otherwise(0)).alias("n_found"))
     asked = gold.select("doc").distinct()
     fetched = ranked.join(asked, "doc", "left_semi").crossJoin(cut).where("rank <= k")
-    cov = coverage(rows, fetched, ["k"]).groupBy("k").agg(F.round(F.avg("coverage"), 4).alias("coverage"))
-    return found.join(cov, "k", "left").select("k", "n_quotes", "n_found", F.round(100 * F.col("n_found") / F.col("n_quotes"), 4).alias("recall_percent"), "coverage")
+    cov = coverage(rows, fetched, ["k"]).groupBy("k").agg(F.bround(F.avg("coverage"), 4).alias("coverage"))
+    return found.join(cov, "k", "left").select("k", "n_quotes", "n_found", F.bround(100 * F.col("n_found") / F.col("n_quotes"), 4).alias("recall_percent"), "coverage")
 
 
 def gold_chunks(rows: DataFrame, gold: DataFrame) -> DataFrame:
@@ -77,11 +77,11 @@ def gold_density(rows: DataFrame, gold: DataFrame) -> DataFrame:
     of = rows.join(gold.select("doc").distinct(), "doc", "left_semi").select("doc", "idx", F.size(F.split(squash("text"), " ")).alias("n"))
     marked = of.join(gold_chunks(rows, gold).withColumn("gold", F.lit(1)), ["doc", "idx"], "left")
     is_gold = F.coalesce("gold", F.lit(0))
-    return marked.groupBy("doc").agg(F.count("*").alias("n_chunks"), F.sum(is_gold).alias("n_gold"), F.round(F.avg(is_gold), 6).alias("density"), F.round(F.sum(is_gold * F.col("n")) / F.sum("n"), 6).alias("oracle_coverage"))
+    return marked.groupBy("doc").agg(F.count("*").alias("n_chunks"), F.sum(is_gold).alias("n_gold"), F.bround(F.avg(is_gold), 6).alias("density"), F.bround(F.sum(is_gold * F.col("n")) / F.sum("n"), 6).alias("oracle_coverage"))
 
 
 def micro_recall(score: DataFrame) -> DataFrame:
-    return score.groupBy("doc").agg(F.round(F.sum("found") / F.sum("expected"), 6).alias("recall"))
+    return score.groupBy("doc").agg(F.bround(F.sum("found") / F.sum("expected"), 6).alias("recall"))
 
 
 def compared(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -91,7 +91,7 @@ def compared(before: DataFrame, after: DataFrame) -> DataFrame:
     n = lambda c: F.count(F.when(c, 1))
     return both.groupBy("gold_column").agg(
         n(b > a).alias("improved"), n(b == a).alias("unchanged"), n(b < a).alias("worse"), n((a >= 0.7) & (b >= 0.7)).alias("both_good"), n((a >= 0.7) & (b < 0.7)).alias("only_before"),
-        n((a < 0.7) & (b >= 0.7)).alias("only_after"), n((a < 0.7) & (b < 0.7)).alias("neither"), F.round(F.avg(b - a), 6).alias("mean_delta"),
+        n((a < 0.7) & (b >= 0.7)).alias("only_after"), n((a < 0.7) & (b < 0.7)).alias("neither"), F.bround(F.avg(b - a), 6).alias("mean_delta"),
     )
 
 
@@ -106,8 +106,8 @@ def hit_gap(ranked_scores: DataFrame, hit: DataFrame, query: DataFrame) -> DataF
     good = hit.where("idx IS NOT NULL").select("gold_column", "doc", "idx").distinct().withColumn("hit", F.lit(True))
     j = s.join(hit.select("gold_column", "doc").distinct(), ["gold_column", "doc"], "left_semi").join(good, ["gold_column", "doc", "idx"], "left")
     med = lambda c: F.percentile(F.when(c, F.col("score")), 0.5)
-    out = j.groupBy("gold_column").agg(F.round(med(F.col("hit")), 6).alias("hit_median"), F.round(med(F.col("hit").isNull()), 6).alias("miss_median"))
-    return out.withColumn("gap", F.round(F.col("hit_median") - F.col("miss_median"), 6))
+    out = j.groupBy("gold_column").agg(F.bround(med(F.col("hit")), 6).alias("hit_median"), F.bround(med(F.col("hit").isNull()), 6).alias("miss_median"))
+    return out.withColumn("gap", F.bround(F.col("hit_median") - F.col("miss_median"), 6))
 
 
 def union_ranked(ranked: DataFrame, query: DataFrame) -> DataFrame:
@@ -157,10 +157,10 @@ def experiments(ranked: dict[str, DataFrame], rows: DataFrame, query: DataFrame,
     asked = gold.select("doc").distinct()
     fetched = best.select("mode", "doc", "idx", "rank").join(asked, "doc", "left_semi").join(grid_, "mode").where("rank <= k").select("mode", "k", "w", "doc", "idx").distinct()
     cov = window_coverage(rows, fetched, ["mode", "k", "w"]) if windows else None
-    mean = cov.groupBy("mode", "k", "w").agg(F.round(F.avg("coverage"), 4).alias("coverage"))
+    mean = cov.groupBy("mode", "k", "w").agg(F.bround(F.avg("coverage"), 4).alias("coverage"))
     out = grid_.join(found, ["mode", "k", "w"], "left").join(mean, ["mode", "k", "w"], "left").crossJoin(F.broadcast(total))  # one row
     n = F.coalesce("n_found", F.lit(0))
-    return out.select("mode", "k", "w", "n_quotes", n.alias("n_found"), F.round(100 * n / F.col("n_quotes"), 4).alias("recall_percent"), "coverage")
+    return out.select("mode", "k", "w", "n_quotes", n.alias("n_found"), F.bround(100 * n / F.col("n_quotes"), 4).alias("recall_percent"), "coverage")
 
 
 def detail(rows: DataFrame, union: DataFrame, gold: DataFrame) -> DataFrame:
@@ -177,12 +177,12 @@ def detail(rows: DataFrame, union: DataFrame, gold: DataFrame) -> DataFrame:
     pairs = gold.join(got.select(*key, "idx", "place", "text"), key).where(F.contains("text", "quote"))
     first = pairs.groupBy(*key, "quote_no").agg(F.min("place").alias("place"))
     quoted = gold.join(first, [*key, "quote_no"], "left").groupBy(*key).agg(
-        F.count("*").alias("expected"), F.count("place").alias("found"), F.min("place").alias("first_place"), F.round(F.avg(F.char_length("quote")), 4).alias("mean_quote_chars"),
+        F.count("*").alias("expected"), F.count("place").alias("found"), F.min("place").alias("first_place"), F.bround(F.avg(F.char_length("quote")), 4).alias("mean_quote_chars"),
         F.array_sort(F.collect_list(F.when(F.col("place").isNotNull(), F.col("quote_no")))).alias("found_quotes"), F.array_sort(F.collect_list(F.when(F.col("place").isNull(), F.col("quote_no")))).alias("missed_quotes"),
     )
     hit = got.join(pairs.select(*key, "idx").distinct().withColumn("hit", F.lit(True)), [*key, "idx"], "left")
     yes, no = F.col("hit"), F.col("hit").isNull()
-    of = lambda c: F.sort_array(F.collect_list(F.when(c, F.round("score", 6))), False)
+    of = lambda c: F.sort_array(F.collect_list(F.when(c, F.bround("score", 6))), False)
     fetched = hit.groupBy(*key).agg(
         F.count("*").alias("n_fetched"), F.count(F.when(yes, 1)).alias("n_hit"), F.sum("size").alias("chars_fetched"), of(yes).alias("hit_scores"), of(no).alias("miss_scores"),
         *[f(F.when(c, F.col("score"))).alias(n) for f, c, n in ((F.avg, yes, "hit_mean"), (F.max, yes, "hit_max"), (F.avg, no, "miss_mean"), (F.max, no, "miss_max"))], F.array_sort(F.collect_list("idx")).alias("fetched"),
@@ -192,11 +192,11 @@ def detail(rows: DataFrame, union: DataFrame, gold: DataFrame) -> DataFrame:
     c = F.col
     none, zero = F.array().cast("array<double>"), F.lit(0)
     return out.select(
-        *key, F.coalesce("n_doc_chunks", zero).alias("n_doc_chunks"), F.coalesce("n_fetched", zero).alias("n_fetched"), "expected", "found", F.round(c("found") / c("expected"), 4).alias("recall"),
-        F.when(c("found") == c("expected"), "PERFECT").when(c("found") > 0, "PARTIAL").otherwise("MISS").alias("hit_class"), "first_place", F.round(F.coalesce(1 / c("first_place"), F.lit(0.0)), 4).alias("reciprocal_rank"),
-        F.round(F.coalesce(c("n_hit") / c("n_fetched"), F.lit(0.0)), 4).alias("precision"), "found_quotes", "missed_quotes", F.coalesce("hit_scores", none).alias("hit_scores"), F.coalesce("miss_scores", none).alias("miss_scores"),
-        *[F.round(x, 4).alias(x) for x in ("hit_mean", "hit_max", "miss_mean", "miss_max")], F.coalesce("chars_fetched", zero).alias("chars_fetched"),
-        F.round(F.coalesce(100 * c("chars_fetched") / c("chars"), F.lit(0.0)), 1).alias("coverage"), F.coalesce("fetched", F.array().cast("array<int>")).alias("fetched"), "mean_quote_chars",
+        *key, F.coalesce("n_doc_chunks", zero).alias("n_doc_chunks"), F.coalesce("n_fetched", zero).alias("n_fetched"), "expected", "found", F.bround(c("found") / c("expected"), 4).alias("recall"),
+        F.when(c("found") == c("expected"), "PERFECT").when(c("found") > 0, "PARTIAL").otherwise("MISS").alias("hit_class"), "first_place", F.bround(F.coalesce(1 / c("first_place"), F.lit(0.0)), 4).alias("reciprocal_rank"),
+        F.bround(F.coalesce(c("n_hit") / c("n_fetched"), F.lit(0.0)), 4).alias("precision"), "found_quotes", "missed_quotes", F.coalesce("hit_scores", none).alias("hit_scores"), F.coalesce("miss_scores", none).alias("miss_scores"),
+        *[F.bround(x, 4).alias(x) for x in ("hit_mean", "hit_max", "miss_mean", "miss_max")], F.coalesce("chars_fetched", zero).alias("chars_fetched"),
+        F.bround(F.coalesce(100 * c("chars_fetched") / c("chars"), F.lit(0.0)), 1).alias("coverage"), F.coalesce("fetched", F.array().cast("array<int>")).alias("fetched"), "mean_quote_chars",
     )
 
 
@@ -211,7 +211,7 @@ def call_coverage(rows: DataFrame, fetched: DataFrame) -> DataFrame:
 def weighted_coverage(cover: DataFrame, weight: DataFrame, value: str = "both", by: str = "n") -> DataFrame:
     """(mean_coverage, weighted_coverage): over documents, and by their weights. ``weight``: (doc, n)."""
     j = cover.join(weight, "doc")
-    return j.agg(F.round(F.avg(value), 4).alias("mean_coverage"), F.round(F.sum(F.col(value) * F.col(by)) / F.sum(by), 4).alias("weighted_coverage"))
+    return j.agg(F.bround(F.avg(value), 4).alias("mean_coverage"), F.bround(F.sum(F.col(value) * F.col(by)) / F.sum(by), 4).alias("weighted_coverage"))
 
 
 def hierarchical(context: DataFrame, parents: DataFrame, gold: DataFrame, calls: dict[str, str], by: list[str] | None = None) -> DataFrame:
@@ -228,11 +228,11 @@ def hierarchical(context: DataFrame, parents: DataFrame, gold: DataFrame, calls:
     whole = parents.groupBy(F.col("source_file").alias("doc")).agg(F.sum(F.char_length("page_content")).alias("chars"))
     seen = held.withColumn("hit", F.coalesce(F.contains("text", "quote"), F.lit(False)).cast("int")).join(whole, "doc", "left")
     per = seen.groupBy(*by, "gold_column", "doc").agg(F.count("*").alias("n"), F.sum("hit").alias("f"), F.max(F.coalesce(100 * F.col("size") / F.col("chars"), F.lit(0.0))).alias("cover"))
-    return per.groupBy(*by, "gold_column").agg(F.sum("n").alias("n_quotes"), F.sum("f").alias("n_found"), F.round(100 * F.sum("f") / F.sum("n"), 4).alias("recall_percent"), F.round(F.avg("cover"), 4).alias("coverage"))
+    return per.groupBy(*by, "gold_column").agg(F.sum("n").alias("n_quotes"), F.sum("f").alias("n_found"), F.bround(100 * F.sum("f") / F.sum("n"), 4).alias("recall_percent"), F.bround(F.avg("cover"), 4).alias("coverage"))
 
 
 def long_documents(before: DataFrame, after: DataFrame, rows: DataFrame, more_than: int = 40) -> DataFrame:
     """(doc, n_chunks, before, after, delta) of documents with more than so many chunks, recall over all their quotes in per cent. ``before``, ``after``: scores."""
-    of = lambda d, n: d.groupBy("doc").agg(F.round(100 * F.sum("found") / F.sum("expected"), 4).alias(n))
+    of = lambda d, n: d.groupBy("doc").agg(F.bround(100 * F.sum("found") / F.sum("expected"), 4).alias(n))
     size = rows.groupBy("doc").agg(F.count("*").alias("n_chunks")).where(F.col("n_chunks") > more_than)
-    return size.join(of(before, "before"), "doc").join(of(after, "after"), "doc").select("doc", "n_chunks", "before", "after", F.round(F.col("after") - F.col("before"), 4).alias("delta"))
+    return size.join(of(before, "before"), "doc").join(of(after, "after"), "doc").select("doc", "n_chunks", "before", "after", F.bround(F.col("after") - F.col("before"), 4).alias("delta"))

@@ -291,5 +291,5 @@ def run_totals(extractions: DataFrame) -> DataFrame:
     flagged = F.coalesce(F.size(F.col("result.quality_control.flags")) > 0, F.lit(False))
     return once.groupBy(F.col("extraction_config.model").alias("model"), F.col("extraction_config.mode").alias("mode")).agg(
         F.count("*").alias("n_runs"), F.sum("api_metadata.prompt_tokens").alias("prompt_tokens"), F.sum("api_metadata.completion_tokens").alias("completion_tokens"),
-        F.round(F.avg("api_metadata.latency_seconds"), 6).alias("mean_latency"), F.sum(flagged.cast("int")).alias("n_flagged"),
+        F.bround(F.avg("api_metadata.latency_seconds"), 6).alias("mean_latency"), F.sum(flagged.cast("int")).alias("n_flagged"),
     )

@@ -177,7 +177,7 @@ def cosine(a: Column, b: Column) -> Column:
 def vector_search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(label, vec_id, query_id, score, rank): exact cosine top k of stored vectors within each label. ``queries``: one vector per label."""
     q = queries.select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("q"))
-    scored = vectors.join(q, "label").select("label", "vec_id", "query_id", F.round(cosine(F.col("embedding"), F.col("q")), 4).alias("score"))
+    scored = vectors.join(q, "label").select("label", "vec_id", "query_id", F.bround(cosine(F.col("embedding"), F.col("q")), 4).alias("score"))
     return top(scored, ["label"], [F.desc("score"), F.asc("vec_id")], k)
 
 
@@ -209,7 +209,7 @@ def search_all(vectors: DataFrame, queries: DataFrame, k: int, block: int = 4096
         return pd.DataFrame({"query_id": of[i], "vec_id": ids[j], "score": cos[i, j]})
 
     found = v.groupBy("qb", "vb").cogroup(q.groupBy("qb", "vb")).applyInPandas(best, "query_id long, vec_id long, score double")
-    return top(found.withColumn("score", F.round("score", 4)), ["query_id"], [F.desc("score"), F.asc("vec_id")], k)
+    return top(found.withColumn("score", F.bround("score", 4)), ["query_id"], [F.desc("score"), F.asc("vec_id")], k)
 
 
 def top(df: DataFrame, by: list[str], order: list[Column], k: int | None, name: str = "rank") -> DataFrame:
@@ -219,14 +219,14 @@ def top(df: DataFrame, by: list[str], order: list[Column], k: int | None, name:
 
 def ranked(scores: DataFrame, k: int | None, digits: int | None = 9) -> DataFrame:
     """Best ``k`` chunks per query and document; ties keep the chunks' order."""
-    s = scores if digits is None else scores.withColumn("score", F.round("score", digits))
+    s = scores if digits is None else scores.withColumn("score", F.bround("score", digits))
     return top(s, ["query_key", "doc"], [F.desc("score"), F.asc("idx")], k)
 
 
 def fuse(both: DataFrame, k: int, cfg: Config = Config(), keep: tuple[str, ...] = ()) -> DataFrame:
     """Weighted reciprocal-rank fusion of the columns ``dense`` and ``lexical``; ranks from 0, an absent side adds nothing, ties go to the earlier chunk."""
     of = Window.partitionBy("query_key", "doc")
-    place = lambda c: F.row_number().over(of.orderBy(F.desc(F.round(c, 9)), F.asc("idx"))) - 1
+    place = lambda c: F.row_number().over(of.orderBy(F.desc(F.bround(c, 9)), F.asc("idx"))) - 1
     at = both.withColumn("rd", place("dense")).withColumn("rb", place("lexical"))
     at = at.withColumn("rd", F.when(F.col("rd") < min(cfg.pool * k, cfg.dense_cap), F.col("rd"))).withColumn("rb", F.when(F.col("rb") < cfg.pool * k, F.col("rb")))
     score = F.coalesce(F.lit(cfg.alpha) / (cfg.rrf_k + F.col("rd")), F.lit(0.0)) + F.coalesce(F.lit(1 - cfg.alpha) / (cfg.rrf_k + F.col("rb")), F.lit(0.0))
@@ -319,7 +319,7 @@ def min_max(col: str, by: list[str]) -> Column:
 def rerank(pool: DataFrame, k: int, alpha: float = 0.6) -> DataFrame:
     """(query_key, doc, idx, score, rank): a pool with ``kw`` re-ranked by scaled retrieval and keyword scores; ties keep the pool's order."""
     by = ["query_key", "doc"]
-    mixed = pool.withColumnRenamed("rank", "pool_rank").withColumn("score", F.round(alpha * min_max("score", by) + (1 - alpha) * min_max("kw", by), 6))
+    mixed = pool.withColumnRenamed("rank", "pool_rank").withColumn("score", F.bround(alpha * min_max("score", by) + (1 - alpha) * min_max("kw", by), 6))
     return top(mixed, by, [F.desc("score"), F.asc("pool_rank")], k).select("query_key", "doc", "idx", "score", "rank")
 
 
@@ -365,13 +365,13 @@ def merged_groups(hits: DataFrame, groups: dict[str, list[str]]) -> DataFrame:
     of = hits.sparkSession.createDataFrame(pairs, "query_key string, group string")
     order = F.create_map(*[F.lit(x) for i, q in enumerate(catalog.KEYWORDS) for x in (q, i)])
     h = hits.join(F.broadcast(of), "query_key")
-    out = h.groupBy("group", "doc", "idx").agg(F.round(F.max("score"), 6).alias("score"), F.array_sort(F.collect_set(F.struct(order[F.col("query_key")].alias("i"), F.col("query_key").alias("q")))).alias("qs"))
+    out = h.groupBy("group", "doc", "idx").agg(F.bround(F.max("score"), 6).alias("score"), F.array_sort(F.collect_set(F.struct(order[F.col("query_key")].alias("i"), F.col("query_key").alias("q")))).alias("qs"))
     return out.select("group", "doc", "idx", "score", F.transform("qs", lambda x: x["q"]).alias("source_queries"))
 
 
 def run_summary(assembled: DataFrame) -> DataFrame:
     """(n_docs, mean_call1, mean_call2, mean_all, mean_chars_call1, mean_chars_call2): one row over a run."""
-    mean = lambda c, n: F.round(F.avg(c), 4).alias(n)
+    mean = lambda c, n: F.bround(F.avg(c), 4).alias(n)
     return assembled.agg(F.count("*").alias("n_docs"), mean("n_call1", "mean_call1"), mean("n_call2", "mean_call2"), mean("n_all", "mean_all"), mean("chars_call1", "mean_chars_call1"), mean("chars_call2", "mean_chars_call2"))
 
 
@@ -379,7 +379,7 @@ def merged(hits: DataFrame, query: DataFrame) -> DataFrame:
     """(call, doc, idx, score, source_queries): hits of a call's queries, each chunk once, in document order."""
     order = F.create_map(*[F.lit(x) for i, q in enumerate(catalog.KEYWORDS) for x in (q, i)])
     h = hits.join(F.broadcast(query.select("query_key", "call")), "query_key")
-    out = h.groupBy("call", "doc", "idx").agg(F.round(F.max("score"), 6).alias("score"), F.array_sort(F.collect_set(F.struct(order[F.col("query_key")].alias("i"), F.col("query_key").alias("q")))).alias("qs"))
+    out = h.groupBy("call", "doc", "idx").agg(F.bround(F.max("score"), 6).alias("score"), F.array_sort(F.collect_set(F.struct(order[F.col("query_key")].alias("i"), F.col("query_key").alias("q")))).alias("qs"))
     return out.select("call", "doc", "idx", "score", F.transform("qs", lambda x: x["q"]).alias("source_queries"))
 
 
@@ -410,7 +410,7 @@ def _parent_scores(h: DataFrame, by: list[str]) -> DataFrame:
     key = [*by, "call", "doc", "parent_index"]
     asked = h.groupBy(*key).agg(F.countDistinct("query_key").alias("n_queries"))
     best = kids.groupBy(*key).agg(F.max("child").alias("child"))
-    return best.join(asked, key).select(*by, "call", "doc", "parent_index", F.round(F.col("child") + 0.12 * (F.col("n_queries") - 1), 6).alias("score"), "n_queries")
+    return best.join(asked, key).select(*by, "call", "doc", "parent_index", F.bround(F.col("child") + 0.12 * (F.col("n_queries") - 1), 6).alias("score"), "n_queries")
 
 
 def parent_context(scores: DataFrame, parents: DataFrame, n: int | list[int]) -> DataFrame:

@@ -11,7 +11,7 @@ def means(df: DataFrame, by: list[str], cols: list[str], digits: int = 6) -> Dat
     out = df.groupBy(*by).agg(*[F.avg(c).alias(f"mean_{c}") for c in cols])
     have = sum((F.col(f"mean_{c}").isNotNull().cast("int") for c in cols[1:]), F.col(f"mean_{cols[0]}").isNotNull().cast("int"))
     total = sum((F.coalesce(F.col(f"mean_{c}"), F.lit(0.0)) for c in cols[1:]), F.coalesce(F.col(f"mean_{cols[0]}"), F.lit(0.0)))
-    return out.withColumn("composite", F.round(total / F.nullif(have, F.lit(0)), digits)).select(*by, *[F.round(f"mean_{c}", digits).alias(f"mean_{c}") for c in cols], "composite")
+    return out.withColumn("composite", F.bround(total / F.nullif(have, F.lit(0)), digits)).select(*by, *[F.bround(f"mean_{c}", digits).alias(f"mean_{c}") for c in cols], "composite")
 
 
 def mapped(col: Column | str, values: dict[str, float | None]) -> Column:
@@ -26,18 +26,18 @@ def mapped(col: Column | str, values: dict[str, float | None]) -> Column:
 
 def pivoted(df: DataFrame, index: str, column: str, value: str, values: list) -> DataFrame:
     """Mean of ``value`` per index, a column per listed value; the list is given, so no job looks for it."""
-    out = df.groupBy(index).pivot(column, values).agg(F.round(F.avg(value), 6))
+    out = df.groupBy(index).pivot(column, values).agg(F.bround(F.avg(value), 6))
     return out.select(index, *[F.col(f"`{v}`").alias(f"{column}_{v}") for v in values])
 
 
 def paired_difference(df: DataFrame, key: str, side: str, a: str, b: str, value: str) -> DataFrame:
     of = lambda s: F.avg(F.when(F.col(side) == s, F.col(value)))
-    return df.groupBy(key).agg(F.round(of(a) - of(b), 6).alias("difference"))
+    return df.groupBy(key).agg(F.bround(of(a) - of(b), 6).alias("difference"))
 
 
 def missing_and_ranges(df: DataFrame, cols: list[str]) -> DataFrame:
     """(column_name, n_missing, lowest, highest, mean): one aggregate over all rows."""
-    row = df.agg(*[F.struct(F.count(F.when(F.col(c).isNull(), 1)).alias("n_missing"), F.min(F.col(c).cast("double")).alias("lowest"), F.max(F.col(c).cast("double")).alias("highest"), F.round(F.avg(c), 6).alias("mean")).alias(c) for c in cols])
+    row = df.agg(*[F.struct(F.count(F.when(F.col(c).isNull(), 1)).alias("n_missing"), F.min(F.col(c).cast("double")).alias("lowest"), F.max(F.col(c).cast("double")).alias("highest"), F.bround(F.avg(c), 6).alias("mean")).alias(c) for c in cols])
     return row.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c)["n_missing"].alias("n_missing"), F.col(c)["lowest"].alias("lowest"), F.col(c)["highest"].alias("highest"), F.col(c)["mean"].alias("mean")) for c in cols])))
 
 
@@ -47,12 +47,12 @@ def value_counts(df: DataFrame, col: str) -> DataFrame:
 
 def described(df: DataFrame, col: str, by: list[str]) -> DataFrame:
     """Count, mean, deviation and exact quartiles per group."""
-    q = lambda p: F.round(F.percentile(col, p), 6)
-    return df.groupBy(*by).agg(F.count(col).alias("n"), F.round(F.avg(col), 6).alias("mean"), F.round(F.stddev_samp(col), 6).alias("deviation"), F.min(col).alias("lowest"), q(0.25).alias("q25"), q(0.5).alias("q50"), q(0.75).alias("q75"), q(0.95).alias("q95"), F.max(col).alias("highest"))
+    q = lambda p: F.bround(F.percentile(col, p), 6)
+    return df.groupBy(*by).agg(F.count(col).alias("n"), F.bround(F.avg(col), 6).alias("mean"), F.bround(F.stddev_samp(col), 6).alias("deviation"), F.min(col).alias("lowest"), q(0.25).alias("q25"), q(0.5).alias("q50"), q(0.75).alias("q75"), q(0.95).alias("q95"), F.max(col).alias("highest"))
 
 
 def rate(df: DataFrame, by: list[str], test: Column) -> DataFrame:
-    return df.groupBy(*by).agg(F.round(F.avg(F.coalesce(test, F.lit(False)).cast("int")), 6).alias("rate"), F.count("*").alias("n"))
+    return df.groupBy(*by).agg(F.bround(F.avg(F.coalesce(test, F.lit(False)).cast("int")), 6).alias("rate"), F.count("*").alias("n"))
 
 
 def latest(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
@@ -101,7 +101,7 @@ def interpolated(df: DataFrame, x: str, y: str, by: list[str], targets: list[flo
     last = (F.col("x1").isNull() & (F.col("at") == F.col("x0"))) | ((F.col("at") >= F.col("x0")) & (F.col("at") < F.col("x1")))
     hit = asked.join(seg, by).where(last)
     value = F.when(F.col("x1").isNull(), F.col("y0")).otherwise(F.col("y0") + (F.col("y1") - F.col("y0")) * (F.col("at") - F.col("x0")) / (F.col("x1") - F.col("x0")))
-    got = hit.groupBy(*by, "target").agg(F.round(F.max(value), 6).alias("value"))
+    got = hit.groupBy(*by, "target").agg(F.bround(F.max(value), 6).alias("value"))
     return asked.select(*by, "target").join(got, [*by, "target"], "left")
 
 
@@ -112,13 +112,13 @@ def overlap(df: DataFrame, by: list[str], x: str) -> DataFrame:
 
 def binomial_interval(p: Column, n: Column) -> tuple[Column, Column]:
     half = 1.96 * F.sqrt(p * (1 - p) / n)
-    return F.round(p - half, 6), F.round(p + half, 6)
+    return F.bround(p - half, 6), F.bround(p + half, 6)
 
 
 def milestones(df: DataFrame, order: str, value: str, by: list[str]) -> DataFrame:
     """Each step with the change from the one before and the ratio to it."""
     before = F.lag(value).over(Window.partitionBy(*by).orderBy(order))
-    return df.withColumn("delta", F.round(F.col(value) - before, 6)).withColumn("ratio", F.round(F.try_divide(F.col(value), before), 6))
+    return df.withColumn("delta", F.bround(F.col(value) - before, 6)).withColumn("ratio", F.bround(F.try_divide(F.col(value), before), 6))
 
 
 def best_row(df: DataFrame, by: list[str], value: str, key: str) -> DataFrame:

@@ -178,7 +178,7 @@ SQL = {
     "l1_prompts": "WITH c AS (SELECT DISTINCT source_file, chunk_index, chunk_id, page_content FROM chunks WHERE source_file IS NOT NULL AND page_content IS NOT NULL), n AS (SELECT *, row_number() OVER (PARTITION BY source_file ORDER BY chunk_index, chunk_id, page_content) AS i FROM c) SELECT source_file, 'Dokument ' || source_file || chr(10) || chr(10) || string_agg('[CHUNK ' || i || '] (' || chunk_id || ')' || chr(10) || page_content, chr(10) || chr(10) ORDER BY i) AS prompt FROM n GROUP BY source_file",
     "l8_parsed": "SELECT DISTINCT file_id, json_extract_string(payload, '$.meta.doc_id') AS doc_id FROM extraction_files",
     "l10_meta": "WITH m AS (SELECT regexp_replace(filename, '\\.pdf$', '') AS doc_id, arg_max(metadata, ingested_at) AS m FROM processed_json WHERE metadata IS NOT NULL GROUP BY 1), e AS (SELECT extraction_id, any_value(result.meta) AS x FROM extractions WHERE result.meta IS NOT NULL GROUP BY 1) SELECT extraction_id, x.doc_id AS doc_id, coalesce(m.court, x.court_name) AS court_name, coalesce(m.case_id, x.case_number) AS case_number, coalesce(m.ecli, x.ecli) AS ecli, coalesce(m.document_type, x.document_type) AS document_type FROM e LEFT JOIN m ON m.doc_id = x.doc_id",
-    "l11_totals": "WITH e AS (SELECT extraction_id, any_value(extraction_config) AS c, any_value(api_metadata) AS a, any_value(result) AS r FROM extractions GROUP BY 1) SELECT c.model AS model, c.mode AS mode, count(*) AS n_runs, sum(a.prompt_tokens) AS prompt_tokens, sum(a.completion_tokens) AS completion_tokens, round(avg(a.latency_seconds), 6) AS mean_latency, count(*) FILTER (len(r.quality_control.flags) > 0) AS n_flagged FROM e GROUP BY 1, 2",
+    "l11_totals": "WITH e AS (SELECT extraction_id, any_value(extraction_config) AS c, any_value(api_metadata) AS a, any_value(result) AS r FROM extractions GROUP BY 1) SELECT c.model AS model, c.mode AS mode, count(*) AS n_runs, sum(a.prompt_tokens) AS prompt_tokens, sum(a.completion_tokens) AS completion_tokens, round_even(avg(a.latency_seconds), 6) AS mean_latency, count(*) FILTER (len(r.quality_control.flags) > 0) AS n_flagged FROM e GROUP BY 1, 2",
     "case_records": _FLAT + f""" SELECT extraction_id, penalty_no, penalty_id, contract_type, breach_type, rate_type, currency, decision, secured_principal, CAST(len(flags) AS INTEGER) AS n_flags, authority_level,
       array_to_string(list_filter(['Zmluva: ' || contract_type || CASE WHEN relationship_type <> '' THEN ', ' || relationship_type ELSE '' END || '.', CASE WHEN breach_type <> '' THEN 'Porusenie: ' || breach_type || '.' END, CASE WHEN rate_value_raw <> '' THEN 'Sadzba: ' || rate_value_raw || '.' END,
        CASE WHEN secured_principal IS NOT NULL THEN 'Istina: ' || {_NUM('secured_principal')} || ' ' || currency || '.' END, CASE WHEN original_claimed IS NOT NULL AND final_awarded IS NOT NULL THEN 'Pozadovane: ' || {_NUM('original_claimed')} || ', priznane: ' || {_NUM('final_awarded')} || ' ' || currency || '.' END,
@@ -191,9 +191,9 @@ SQL = {
     "case_filter": _FLAT + f", n AS (SELECT count(*) AS k FROM r WHERE {_MATCH}) SELECT CASE WHEN k = 0 THEN 'none_fallback' ELSE 'strict' END AS filter_type, count(*) AS n_filtered, (SELECT count(*) FROM r) AS n_total FROM r, n WHERE k = 0 OR ({_MATCH}) GROUP BY 1",
     "case_fallback": _FLAT + " SELECT 'none_fallback' AS filter_type, count(*) AS n_filtered, count(*) AS n_total FROM r",
     "case_ranking": _FLAT + f""", n AS (SELECT count(*) AS k FROM r WHERE {_MATCH}), c AS (SELECT r.*, coalesce(secured_principal, original_claimed) AS own, list_transform({_MENTIONED}, lambda f: f.label) AS told FROM r, n WHERE k = 0 OR ({_MATCH})),
-      s AS (SELECT *, round(0.25 * CASE WHEN own IS NULL OR own <= 0 THEN 0.5 ELSE least(own, 50000.0::DOUBLE) / greatest(own, 50000.0::DOUBLE) END + 0.2 * ((CASE WHEN decision = 'moderated_301' THEN 2 ELSE 0 END + coalesce(list_contains(told, 'dobre_mravy'), false)::INTEGER + coalesce(list_contains(told, 'pomer_k_istine'), false)::INTEGER) / 4.0::DOUBLE) + 0.15 * authority_level / 3, 6) AS sc FROM c)
-      SELECT CAST(row_number() OVER (ORDER BY sc DESC, extraction_id, penalty_no) AS INTEGER) AS rank, extraction_id, penalty_id, case_number, court_name, contract_type, breach_type, decision, currency, secured_principal, round(sc, 3) AS score, authority_level FROM s ORDER BY sc DESC, extraction_id, penalty_no LIMIT 5""",
-    "case_statistics": _FLAT + " SELECT count(*) AS n, count(*) FILTER (decision IN ('moderated_301', 'awarded_full')) AS n_decided, count(*) FILTER (decision = 'moderated_301') AS n_moderated, CASE WHEN count(*) >= 5 AND count(*) FILTER (decision IN ('moderated_301', 'awarded_full')) >= 3 THEN round(100 * count(*) FILTER (decision = 'moderated_301') / count(*) FILTER (decision IN ('moderated_301', 'awarded_full')), 1) END AS moderation_rate_pct FROM r",
+      s AS (SELECT *, round_even(0.25 * CASE WHEN own IS NULL OR own <= 0 THEN 0.5 ELSE least(own, 50000.0::DOUBLE) / greatest(own, 50000.0::DOUBLE) END + 0.2 * ((CASE WHEN decision = 'moderated_301' THEN 2 ELSE 0 END + coalesce(list_contains(told, 'dobre_mravy'), false)::INTEGER + coalesce(list_contains(told, 'pomer_k_istine'), false)::INTEGER) / 4.0::DOUBLE) + 0.15 * authority_level / 3, 6) AS sc FROM c)
+      SELECT CAST(row_number() OVER (ORDER BY sc DESC, extraction_id, penalty_no) AS INTEGER) AS rank, extraction_id, penalty_id, case_number, court_name, contract_type, breach_type, decision, currency, secured_principal, round_even(sc, 3) AS score, authority_level FROM s ORDER BY sc DESC, extraction_id, penalty_no LIMIT 5""",
+    "case_statistics": _FLAT + " SELECT count(*) AS n, count(*) FILTER (decision IN ('moderated_301', 'awarded_full')) AS n_decided, count(*) FILTER (decision = 'moderated_301') AS n_moderated, CASE WHEN count(*) >= 5 AND count(*) FILTER (decision IN ('moderated_301', 'awarded_full')) >= 3 THEN round_even(100 * count(*) FILTER (decision = 'moderated_301') / count(*) FILTER (decision IN ('moderated_301', 'awarded_full')), 1) END AS moderation_rate_pct FROM r",
     "case_factors": _FLAT + f", {_BAD} SELECT label, n_negative, n_moderated FROM bad",
     "case_report": _FLAT + f", {_BAD} SELECT CAST(row_number() OVER (ORDER BY n_negative DESC, ord) AS INTEGER) AS line_no, '  - ' || rpad(name, 35, '.') || ' ' || n_negative || ' z ' || n_moderated || ' pripadov' AS line FROM bad WHERE n_negative > 0",
     "case_profile": _FLAT + " SELECT field, value, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT '{f}' AS field, {f} AS value FROM r" for f in ("contract_type", "breach_type", "decision", "currency", "rate_type"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..common import read
+from ..common import read, spread
 from ..functions import text as T
 from ..functions.catalog import CHUNK_PRESETS, CONTRACTS, FEATURES, STOPWORDS
 from ..functions.text import WS
@@ -13,11 +13,11 @@ from ..operators import chunking
 
 
 def _chunks(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "chunks").select("chunk_id", "page_content").distinct()
+    return spread(read(spark, d, "chunks").select("chunk_id", "page_content")).distinct()
 
 
 def _files(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "pipeline_data").select("filename", T.join_pages("raw_pages").alias("text")).distinct()
+    return spread(read(spark, d, "pipeline_data").select("filename", "raw_pages")).select("filename", T.join_pages("raw_pages").alias("text")).distinct()
 
 
 def _reasons(spark: SparkSession, d: str) -> DataFrame:
@@ -45,7 +45,7 @@ def t8_punctuation_and_space(s: SparkSession, d: str) -> DataFrame:
 
 
 def t11_plain(s: SparkSession, d: str) -> DataFrame:
-    return read(s, d, "documents").select("doc_id", T.plain("text").alias("plain"))
+    return spread(read(s, d, "documents")).select("doc_id", T.plain("text").alias("plain"))
 
 
 def t13_names_and_numbers(s: SparkSession, d: str) -> DataFrame:
@@ -53,7 +53,7 @@ def t13_names_and_numbers(s: SparkSession, d: str) -> DataFrame:
 
 
 def t18_cut(s: SparkSession, d: str) -> DataFrame:
-    return read(s, d, "documents").select("doc_id", T.cut_at_blank(F.regexp_replace("text", r"\s", " ")).alias("cut"))
+    return spread(read(s, d, "documents")).select("doc_id", T.cut_at_blank(F.regexp_replace("text", r"\s", " ")).alias("cut"))
 
 
 def x1_header_meta(s: SparkSession, d: str) -> DataFrame:
@@ -65,27 +65,27 @@ def x2_segments(s: SparkSession, d: str) -> DataFrame:
 
 
 def x5_features(s: SparkSession, d: str) -> DataFrame:
-    flat = read(s, d, "documents").select("doc_id", T.plain("text").alias("plain"))
+    flat = spread(read(s, d, "documents")).select("doc_id", T.plain("text").alias("plain"))
     return flat.select("doc_id", *T.pattern_counts(F.col("plain"), FEATURES)).withColumn("label", T.relevance_label())
 
 
 def x6_contract_kinds(s: SparkSession, d: str) -> DataFrame:
-    return read(s, d, "documents").select(F.explode(T.contract_kinds("text")).alias("contract_kind")).groupBy("contract_kind").agg(F.count("*").alias("n"))
+    return spread(read(s, d, "documents")).select(F.explode(T.contract_kinds("text")).alias("contract_kind")).groupBy("contract_kind").agg(F.count("*").alias("n"))
 
 
 def x7_proximity(s: SparkSession, d: str) -> DataFrame:
-    return read(s, d, "documents").select("doc_id", T.near(T.plain("text"), r"zmluvn\w*\s+pokut\w*", r"(zniz\w*|neprimeran\w*)", 250).alias("near"))
+    return spread(read(s, d, "documents")).select("doc_id", T.near(T.plain("text"), r"zmluvn\w*\s+pokut\w*", r"(zniz\w*|neprimeran\w*)", 250).alias("near"))
 
 
 def x8_in_context(s: SparkSession, d: str) -> DataFrame:
-    return read(s, d, "documents").select("doc_id", T.keyword_in_context("text", r"pokut\w*", 40).alias("context")).where("context IS NOT NULL")
+    return spread(read(s, d, "documents")).select("doc_id", T.keyword_in_context("text", r"pokut\w*", 40).alias("context")).where("context IS NOT NULL")
 
 
 def x9_section(s: SparkSession, d: str) -> DataFrame:
     import pandas as pd
 
     status = F.pandas_udf(lambda t: pd.DataFrame([T.section_status(x) for x in t], columns=["status", "snippet"]), "status string, snippet string")
-    return read(s, d, "documents").select("doc_id", status("text").alias("x")).select("doc_id", "x.*")
+    return spread(read(s, d, "documents")).select("doc_id", status("text").alias("x")).select("doc_id", "x.*")
 
 
 def x13_courts(s: SparkSession, d: str) -> DataFrame:
@@ -94,11 +94,11 @@ def x13_courts(s: SparkSession, d: str) -> DataFrame:
 
 
 def x10_commercial(s: SparkSession, d: str) -> DataFrame:
-    return read(s, d, "documents").select("doc_id", T.is_commercial(F.lit(None).cast("string"), F.col("domain"), F.col("case_id")).alias("commercial"), F.exists(F.array(F.lit("obdo"), F.lit("cob")), lambda m: F.contains(F.lower(F.coalesce("case_id", F.lit(""))), m)).alias("register"))
+    return spread(read(s, d, "documents")).select("doc_id", T.is_commercial(F.lit(None).cast("string"), F.col("domain"), F.col("case_id")).alias("commercial"), F.exists(F.array(F.lit("obdo"), F.lit("cob")), lambda m: F.contains(F.lower(F.coalesce("case_id", F.lit(""))), m)).alias("register"))
 
 
 def x17_health(s: SparkSession, d: str) -> DataFrame:
-    return read(s, d, "documents").select("doc_id", T.text_health("text").alias("health"), F.char_length("text").alias("n_chars"))
+    return spread(read(s, d, "documents")).select("doc_id", T.text_health("text").alias("health"), F.char_length("text").alias("n_chars"))
 
 
 def x19_variants(s: SparkSession, d: str) -> DataFrame:
@@ -121,7 +121,7 @@ def x2_reasoning(s: SparkSession, d: str) -> DataFrame:
 
 
 def x6_kinds(s: SparkSession, d: str) -> DataFrame:
-    return read(s, d, "documents").select("doc_id", F.array_join(T.contract_kinds("text"), ",").alias("kinds"))
+    return spread(read(s, d, "documents")).select("doc_id", F.array_join(T.contract_kinds("text"), ",").alias("kinds"))
 
 
 def j13_features(s: SparkSession, d: str) -> DataFrame:
@@ -151,11 +151,11 @@ def t21_rounded(s: SparkSession, d: str) -> DataFrame:
 
 
 def x4_structure(s: SparkSession, d: str) -> DataFrame:
-    return read(s, d, "documents").select("doc_id", *T.structure_flags("text"))
+    return spread(read(s, d, "documents")).select("doc_id", *T.structure_flags("text"))
 
 
 def x11_register(s: SparkSession, d: str) -> DataFrame:
-    return read(s, d, "documents").select("doc_id", T.is_trade_register("case_id").alias("in_register"))
+    return spread(read(s, d, "documents")).select("doc_id", T.is_trade_register("case_id").alias("in_register"))
 
 
 def x18_courts(s: SparkSession, d: str) -> DataFrame:
@@ -178,12 +178,12 @@ def x22_experiments(s: SparkSession, d: str) -> DataFrame:
 
 
 def x23_entities(s: SparkSession, d: str) -> DataFrame:
-    return read(s, d, "documents").select("doc_id", *[c for n, c in zip(T.ENTITIES, T.entity_counts("text")) if n != "money"])
+    return spread(read(s, d, "documents")).select("doc_id", *[c for n, c in zip(T.ENTITIES, T.entity_counts("text")) if n != "money"])
 
 
 def x23_money(s: SparkSession, d: str) -> DataFrame:
     """Apart, as its look-arounds have no SQL."""
-    return read(s, d, "documents").select("doc_id", T.entity_counts("text")[0])
+    return spread(read(s, d, "documents")).select("doc_id", T.entity_counts("text")[0])
 
 
 def k5_budget(s: SparkSession, d: str) -> DataFrame:
@@ -333,10 +333,10 @@ SQL = {
     "k2_lengths": f"SELECT DISTINCT chunk_id, {sql_token_length('page_content')} AS n_tokens, CAST(floor(length(coalesce(page_content, '')) / 4) AS INTEGER) AS n_rough, array_to_string(string_split({sql_squash('page_content')}, ' ')[1:12], ' ') AS head FROM chunks",
     "c3_paragraphs": f"SELECT * FROM {_PARAS}",
     "c4_parents": f"""SELECT filename AS source_file, format('{{}}_parent_{{:03d}}', regexp_replace(filename, '\\.[\\p{{L}}\\p{{N}}_]+$', ''), chunk_index) AS parent_id, chunk_index AS parent_index, coalesce(try_cast(regexp_extract(page_content, '^{WS}*(\\d+)\\.', 1) AS INTEGER), -1) AS point_number,
-      round((chunk_index + 0.5) / count(*) OVER (PARTITION BY filename, court), 4) AS position_ratio, char_len, token_len, page_content FROM {_PARAS}""",
-    "c7_report": f"SELECT strategy, count(*) AS n_chunks, count(DISTINCT filename) AS n_docs, round(count(*) / count(DISTINCT filename), 6) AS per_doc FROM {_PARAS} GROUP BY strategy",
+      round_even((chunk_index + 0.5) / count(*) OVER (PARTITION BY filename, court), 4) AS position_ratio, char_len, token_len, page_content FROM {_PARAS}""",
+    "c7_report": f"SELECT strategy, count(*) AS n_chunks, count(DISTINCT filename) AS n_docs, round_even(count(*) / count(DISTINCT filename), 6) AS per_doc FROM {_PARAS} GROUP BY strategy",
     "c8_golden_only": f"SELECT filename, count(*) AS n_chunks, sum(token_len) AS n_tokens FROM {_PARAS} WHERE filename IN (SELECT document_name FROM golden_dataset_template) GROUP BY filename",
-    "c9_blocks": f"SELECT doc_id, count(*) AS n_blocks, max(n) AS longest, round(quantile_cont(n, 0.95), 6) AS p95 FROM (SELECT doc_id, length({sql_squash('b')}) AS n FROM (SELECT doc_id, unnest(string_split_regex(coalesce(text, ''), '\\n{WS}*\\n')) AS b FROM documents)) WHERE n > 0 GROUP BY doc_id",
+    "c9_blocks": f"SELECT doc_id, count(*) AS n_blocks, max(n) AS longest, round_even(quantile_cont(n, 0.95), 6) AS p95 FROM (SELECT doc_id, length({sql_squash('b')}) AS n FROM (SELECT doc_id, unnest(string_split_regex(coalesce(text, ''), '\\n{WS}*\\n')) AS b FROM documents)) WHERE n > 0 GROUP BY doc_id",
     "t4_body": f"""SELECT filename, CASE WHEN h <> '' THEN {sql_strip("substr(text, instr(text, h))")} WHEN e <> '' THEN {sql_strip("substr(text, instr(text, e) + length(e))")} ELSE substr(text, 1001) END AS body FROM (SELECT filename, text, regexp_extract(text, {_HEAD}) AS h, regexp_extract(text, 'ECLI:[^\\n]+\\n') AS e FROM {_FILES})""",
     "x2_reasoning": f"""SELECT filename, CASE WHEN r <> '' AND i <> '' THEN {sql_strip("left(rest, instr(rest, i) - 1)")} WHEN r <> '' THEN rest ELSE '' END AS reasoning FROM (SELECT *, regexp_extract(rest, {_HOW}) AS i FROM (SELECT *, {sql_strip("substr(text, instr(text, r))")} AS rest FROM (SELECT filename, text, regexp_extract(text, {_WHY}) AS r FROM {_FILES})))""",
     "x6_kinds": "SELECT doc_id, CASE WHEN len(h) > 0 THEN array_to_string(h, ',') ELSE 'unknown/other' END AS kinds FROM (SELECT doc_id, list_filter([" + ", ".join(f"CASE WHEN regexp_matches(t, {re2(p)}) THEN '{n}' END" for n, p in CONTRACTS.items()) + f"], lambda x: x IS NOT NULL) AS h FROM (SELECT doc_id, {sql_plain('text')} AS t FROM documents))",

@@ -32,7 +32,7 @@ def v1_passages(s: SparkSession, d: str) -> DataFrame:
     """Non-zero members of the vectors of all chunks."""
     c = read(s, d, "chunks").where("chunk_id IS NOT NULL").select("chunk_id", "page_content").distinct()
     v = E.embedded(c, "page_content").select("chunk_id", F.posexplode("vector").alias("bucket", "weight"))
-    return v.where("weight > 0").select("chunk_id", "bucket", F.round("weight", 6).alias("weight"))
+    return v.where("weight > 0").select("chunk_id", "bucket", F.bround("weight", 6).alias("weight"))
 
 
 def v6_metadata(s: SparkSession, d: str) -> DataFrame:
@@ -61,7 +61,7 @@ def _found(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 def v4_likeness(s: SparkSession, d: str) -> DataFrame:
     records, asked = cases._records(s, d), C.intents(_questions(s))
     near = _near(s, records, asked)
-    return near.select("query_id", "extraction_id", "penalty_no", F.round("likeness", 6).alias("likeness"))
+    return near.select("query_id", "extraction_id", "penalty_no", F.bround("likeness", 6).alias("likeness"))
 
 
 def case_search(s: SparkSession, d: str) -> DataFrame:
@@ -109,18 +109,18 @@ _SEARCH = cases._FLAT + f""", {_INTENTS}, {_NEAR},
   CASE WHEN amount_hint IS NULL OR amount_hint <= 0 OR coalesce(secured_principal, original_claimed) IS NULL OR coalesce(secured_principal, original_claimed) <= 0 THEN 0.5 ELSE least(coalesce(secured_principal, original_claimed), amount_hint) / greatest(coalesce(secured_principal, original_claimed), amount_hint) END AS amount,
   CASE WHEN decision_interest IS NULL AND len(factor_interest) = 0 THEN 0.5::DOUBLE ELSE (CASE WHEN r.decision = decision_interest THEN 2 ELSE 0 END + len(list_intersect(factor_interest, list_transform({cases._MENTIONED}, lambda f: f.label)))) / (CASE WHEN decision_interest IS NOT NULL THEN 2 ELSE 0 END + len(factor_interest))::DOUBLE END AS bonus, authority_level / 3 AS authority FROM r CROSS JOIN ask),
  c AS (SELECT query_id, count(*) FILTER (suits) AS n_suit, count(*) AS n_all FROM b GROUP BY query_id),
- s AS (SELECT b.*, likeness, CASE WHEN n_suit = 0 THEN 'none_fallback' ELSE 'strict' END AS filter_type, CASE WHEN n_suit = 0 THEN n_all ELSE n_suit END AS n_filtered, round(0.4 * likeness + 0.25 * amount + 0.2 * bonus + 0.15 * authority, 6) AS score FROM b JOIN c USING (query_id) JOIN nr USING (query_id, extraction_id, penalty_no) WHERE suits OR n_suit = 0),
+ s AS (SELECT b.*, likeness, CASE WHEN n_suit = 0 THEN 'none_fallback' ELSE 'strict' END AS filter_type, CASE WHEN n_suit = 0 THEN n_all ELSE n_suit END AS n_filtered, round_even(0.4 * likeness + 0.25 * amount + 0.2 * bonus + 0.15 * authority, 6) AS score FROM b JOIN c USING (query_id) JOIN nr USING (query_id, extraction_id, penalty_no) WHERE suits OR n_suit = 0),
  best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, extraction_id, penalty_no) AS rank FROM s) WHERE rank <= 5)"""
 
 SQL = {
-    "v1_passages": f"WITH rows AS (SELECT DISTINCT chunk_id, page_content FROM chunks WHERE chunk_id IS NOT NULL), bag AS ({_BAG('rows', 'chunk_id, page_content', 'page_content')}) SELECT chunk_id, CAST(b AS INTEGER) AS bucket, round(w / sqrt(sum(w * w) OVER (PARTITION BY chunk_id, page_content)), 6) AS weight FROM bag",
+    "v1_passages": f"WITH rows AS (SELECT DISTINCT chunk_id, page_content FROM chunks WHERE chunk_id IS NOT NULL), bag AS ({_BAG('rows', 'chunk_id, page_content', 'page_content')}) SELECT chunk_id, CAST(b AS INTEGER) AS bucket, round_even(w / sqrt(sum(w * w) OVER (PARTITION BY chunk_id, page_content)), 6) AS weight FROM bag",
     "v6_metadata": "SELECT DISTINCT chunk_id, coalesce(case_id, '') AS case_id, coalesce(court, '') AS court, coalesce(chunk_index, -1) AS chunk_index, coalesce(CAST(char_len AS DOUBLE), 0.0::DOUBLE) AS char_len, coalesce(strategy, 'unknown') AS strategy FROM chunks",
     "l9_intents": f"WITH {_INTENTS} SELECT query_id, intent, contract_type, breach_type, decision_interest, array_to_string(factor_interest, ',') AS factors, amount_hint, semantic_query FROM ask",
-    "v4_likeness": cases._FLAT + f", {_INTENTS}, {_NEAR} SELECT query_id, extraction_id, penalty_no, round(likeness, 6) AS likeness FROM nr",
-    "case_search": _SEARCH + " SELECT query_id, filter_type, n_filtered, rank, extraction_id, penalty_no, penalty_id, round(likeness, 6) AS likeness, score FROM best",
+    "v4_likeness": cases._FLAT + f", {_INTENTS}, {_NEAR} SELECT query_id, extraction_id, penalty_no, round_even(likeness, 6) AS likeness FROM nr",
+    "case_search": _SEARCH + " SELECT query_id, filter_type, n_filtered, rank, extraction_id, penalty_no, penalty_id, round_even(likeness, 6) AS likeness, score FROM best",
     "search_intents": _SEARCH + " SELECT ask.query_id, ask.intent, any_value(filter_type) AS filter_type, coalesce(max(n_filtered), 0) AS n_filtered, count(best.query_id) AS n_shown FROM ask LEFT JOIN best USING (query_id) GROUP BY ALL",
     "case_gated": cases._FLAT + f""", n AS (SELECT count(*) AS k FROM r WHERE {cases._MATCH}), f AS (SELECT r.* FROM r, n WHERE k = 0 OR ({cases._MATCH})), a AS (SELECT count(*) AS n, count(*) FILTER (decision IN ('moderated_301', 'awarded_full')) AS n_decided, count(*) FILTER (decision = 'moderated_301') AS n_moderated FROM f)
-      SELECT n, n_decided, n_moderated, CASE WHEN n >= 5 AND n_decided >= 3 THEN round(100 * n_moderated / n_decided, 1) END AS moderation_rate_pct, CASE WHEN n < 5 THEN 'menej ako 5 zaznamov: ' || n END AS note, 'suited' AS question FROM a
+      SELECT n, n_decided, n_moderated, CASE WHEN n >= 5 AND n_decided >= 3 THEN round_even(100 * n_moderated / n_decided, 1) END AS moderation_rate_pct, CASE WHEN n < 5 THEN 'menej ako 5 zaznamov: ' || n END AS note, 'suited' AS question FROM a
       UNION ALL SELECT 0, 0, 0, NULL, 'menej ako 5 zaznamov: 0', 'none'""",
     "j7_grounding": cases.SQL["j6_evidence"].replace("SELECT extraction_id, source_file, n AS penalty_no, field_path, quote, chunk_id FROM a JOIN d USING (extraction_id) WHERE", """, lk AS (SELECT source_file, 'chunk_' || chunk_index AS chunk_id, arg_max(page_content, ingested_at) AS text FROM chunks WHERE page_content IS NOT NULL AND source_file IS NOT NULL GROUP BY 1, 2
       UNION ALL SELECT filename, k, arg_max(t, ingested_at) FROM (SELECT filename, ingested_at, unnest(['header', 'verdict', 'full_doc']) AS k, unnest([header, segments.verdict, reasoning_full]) AS t FROM processed_json) WHERE t IS NOT NULL GROUP BY 1, 2)
