@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..common import checkpointed, read
+from ..common import checkpointed, read, spread
 from . import leakage, lookalike, packing, scans, sentences, site_lines, token_budget
 
 
@@ -27,8 +27,8 @@ def p3_clean_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = lookalike.same_look_pairs(read(spark, sf_dir, "chunks"), "chunk_id", F.col("page_content"))
-    pages = lookalike.same_look_pairs(read(spark, sf_dir, "pipeline_data"), "filename", lookalike.pages_text("raw_pages"))
+    chunks = lookalike.same_look_pairs(spread(read(spark, sf_dir, "chunks").select("chunk_id", "page_content")), "chunk_id", F.col("page_content"))
+    pages = lookalike.same_look_pairs(spread(read(spark, sf_dir, "pipeline_data").select("filename", "raw_pages")), "filename", lookalike.pages_text("raw_pages"))
     named = lambda df, f: df.select(F.lit(f).alias("field_name"), "key_a", "key_b")
     return named(chunks, "page_content").unionByName(named(pages, "raw_pages"))
 
@@ -49,15 +49,15 @@ def p5_one_form(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leakage.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "eval_items"))
+    return leakage.leaks(spread(read(spark, sf_dir, "documents").select("doc_id", "text")), read(spark, sf_dir, "eval_items"))
 
 
 def p9_reparameterised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leakage.reparameterised(read(spark, sf_dir, "documents"), read(spark, sf_dir, "eval_items"))
+    return leakage.reparameterised(spread(read(spark, sf_dir, "documents").select("doc_id", "text")), read(spark, sf_dir, "eval_items"))
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentences.split(read(spark, sf_dir, "documents"))
+    return sentences.split(spread(read(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -82,7 +82,8 @@ SQL: dict[str, str] = {
 
 
 def _scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scans.inputs(read(spark, sf_dir, "pipeline_data"), read(spark, sf_dir, "processed_json"))
+    raw = read(spark, sf_dir, "pipeline_data").select("filename", "court", "raw_pages", "ingested_at")
+    return scans.inputs(spread(raw), spread(read(spark, sf_dir, "processed_json").select("filename", "court", "header", "ingested_at")))
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,8 +98,8 @@ QUERIES |= {"p1_found": p1_found, "p1_restored": p1_restored}
 
 
 def _units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = token_budget.units("decision", read(spark, sf_dir, "processed_json"), "filename", "reasoning_full", "ingested_at", "court", "lang", "domain")
-    b = token_budget.units("document", read(spark, sf_dir, "documents"), "doc_id", "text", "loaded_at", "source", "lang", "domain")
+    a = token_budget.units("decision", spread(read(spark, sf_dir, "processed_json").select("filename", "reasoning_full", "ingested_at", "court", "lang", "domain")), "filename", "reasoning_full", "ingested_at", "court", "lang", "domain")
+    b = token_budget.units("document", spread(read(spark, sf_dir, "documents").select("doc_id", "text", "loaded_at", "source", "lang", "domain")), "doc_id", "text", "loaded_at", "source", "lang", "domain")
     return a.unionByName(b)
 
 
@@ -122,7 +123,7 @@ def p7_token_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sized = read(spark, sf_dir, "documents").select("doc_id", token_budget.token_count("text").alias("n_tokens"))
+    sized = spread(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", token_budget.token_count("text").alias("n_tokens"))
     return packing.placed(checkpointed(sized), read(spark, sf_dir, "containers"))
 
 
@@ -149,7 +150,7 @@ def p8_instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p8_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What of both placements is not as it should be, by kind of container."""
     kinds = read(spark, sf_dir, "containers")
-    docs = checkpointed(read(spark, sf_dir, "documents").select("doc_id", token_budget.token_count("text").alias("n_tokens")))
+    docs = checkpointed(spread(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", token_budget.token_count("text").alias("n_tokens")))
     told = checkpointed(_instructions(spark, sf_dir))
     a = packing.audit(checkpointed(packing.placed(docs, kinds)), docs, kinds)
     b = packing.audit(checkpointed(packing.placed(told, kinds, key="filename", loss="loss", **INSTRUCTION)), told, kinds, key="filename", **INSTRUCTION)
