@@ -28,7 +28,7 @@ def shared_folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = sc.getConf().get("spark.checkpoint.dir")
-        if not shared and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        if not shared and not re.match(r"local(\[.*\])?$", sc.master):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="lexmill-"))
     return sc.getCheckpointDir()
